@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontam import decontaminate
 from .lm import score
+from .near import near_duplicates
 from .packing import pack
 
 
@@ -29,6 +30,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"), ~fold(1))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +43,6 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_lm_scoring, op6_best_fit_packing, op8_benchmark_decontamination)
+    f.__name__: f for f in (op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op8_benchmark_decontamination)
 }
 ORACLES: dict[str, str] = {}
