@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontam import decontaminate
+from .line_dedup import dedup_lines
 from .lm import score
 from .near import near_duplicates
 from .packing import pack
@@ -26,6 +27,10 @@ def fold(remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == remainder
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"), ~fold(1))
 
@@ -43,6 +48,6 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op8_benchmark_decontamination)
+    f.__name__: f for f in (op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op8_benchmark_decontamination)
 }
 ORACLES: dict[str, str] = {}
