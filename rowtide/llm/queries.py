@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_back
 from .common import read
 from .decontam import decontaminate
+from .html import extract_pages
 from .line_dedup import dedup_lines
 from .lm import score
 from .near import near_duplicates
@@ -28,6 +29,10 @@ def fold(remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == remainder
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -59,6 +64,6 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op8_benchmark_decontamination)
+    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op8_benchmark_decontamination)
 }
 ORACLES: dict[str, str] = {}
