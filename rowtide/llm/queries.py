@@ -11,6 +11,7 @@ from .chat import format_chats, read_back
 from .common import read
 from .decontam import decontaminate
 from .html import extract_pages
+from .langid import identify
 from .line_dedup import dedup_lines
 from .lm import score
 from .near import near_duplicates
@@ -59,11 +60,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"), fold(0))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op8_benchmark_decontamination)
+    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op7_language_id, op8_benchmark_decontamination)
 }
 ORACLES: dict[str, str] = {}
