@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .chat import format_chats, read_back
 from .common import read
 from .decontam import decontaminate
@@ -68,7 +69,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op7_language_id, op8_benchmark_decontamination)
+    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op7_language_id, op8_benchmark_decontamination, op9_nearest_neighbours)
 }
 ORACLES: dict[str, str] = {}
