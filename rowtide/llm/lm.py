@@ -73,6 +73,25 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, each in as many bytes as the largest one takes; that number and the first key lead."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where the shards' ranges begin and end in sorted keys; the top 32 bits of a key decide."""
     firsts = [-(-(k << 32) // shards) for k in range(shards)]
@@ -118,7 +137,7 @@ def _requests(order: int, shards: int) -> Callable[[pa.Table], pa.Table]:
             for s in range(shards):
                 a, b = edges[s : s + 2]
                 # even if empty, so that each chunk hears of each shard's totals
-                rows.append({"cell": s, "kind": k, "chunk": chunk, "shard": s, "keys": keys[a:b].tobytes(), "counts": pack_counts(counts[a:b]), "totals": []})
+                rows.append({"cell": s, "kind": k, "chunk": chunk, "shard": s, "keys": pack_keys(keys[a:b]), "counts": pack_counts(counts[a:b]), "totals": []})
         return pa.Table.from_pylist(rows, _ARROW)
 
     return run
@@ -135,8 +154,9 @@ def _answers(kind: int, shards: int) -> Callable[[pa.Table], pa.Table]:
         mine = [r for r in rows if r["kind"] == kind and r["chunk"] >= 0]
         told = [r for r in rows if r["kind"] == kind and r["chunk"] < 0]
         out = [r for r in rows if r["kind"] != kind]
-        keys = np.frombuffer(b"".join(r["keys"] for r in mine), np.uint64)
-        sizes = [len(r["keys"]) // 8 for r in mine]
+        asked = [unpack_keys(r["keys"]) for r in mine]
+        keys = np.concatenate([*asked, np.zeros(0, np.uint64)])
+        sizes = list(map(len, asked))
         given = np.concatenate([unpack_counts(r["counts"], n) for r, n in zip(mine, sizes)]) if mine else np.zeros(0, np.int64)
         uniq, inverse = np.unique(keys, return_inverse=True)
         counts = np.bincount(inverse, given, len(uniq)).astype(np.int64)
