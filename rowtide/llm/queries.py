@@ -13,6 +13,7 @@ from .common import read
 from .decontam import decontaminate
 from .html import extract_pages
 from .langid import identify
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .lm import score
 from .near import near_duplicates
@@ -73,7 +74,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op7_language_id, op8_benchmark_decontamination, op9_nearest_neighbours)
+    f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_line_dedup, op4_lm_scoring, op5_ngram_jaccard_join, op6_best_fit_packing, op7_language_id, op8_benchmark_decontamination, op9_nearest_neighbours, op10_license_scans)
 }
 ORACLES: dict[str, str] = {}
