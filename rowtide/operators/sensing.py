@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 STABLE_FREQUENCY, MIN_DYNAMIC, MIN_CONFIDENCE, MIN_EVENTS = 0.5, 5, 0.7, 100
@@ -34,7 +35,7 @@ def fingerprint_of(value: Any) -> str:
     return hashlib.sha256(json.dumps(structure(value), separators=(",", ":")).encode()).hexdigest()[:16]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """Structure fingerprint of JSON texts; each distinct text is parsed once a batch."""
     return texts.map({t: fingerprint_of(json.loads(t)) for t in texts.dropna().unique()})
