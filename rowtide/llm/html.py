@@ -122,7 +122,8 @@ def tokens(page: str) -> Iterator[Token]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        yield Token(f"<{name}", "", name in BLOCK, m.start())
+        own_header = name == "header" and depth["main"]  # an article's own one frames nothing
+        yield Token("<section" if own_header else f"<{name}", "", name in BLOCK, m.start())
         if m[1]:
             if any(n == name for n, _ in open_):
                 while open_:

@@ -64,7 +64,13 @@ def _spans(text: Column, min_words: int, long_words: int, bits: int) -> Column:
         last = F.size(lines) - 1
         cuts = F.filter(F.sequence(F.lit(0), last), ends)
         chunks = let(cuts, lambda e: F.transform(e, lambda end, j: let(F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1) + 1), lambda start: span(start, end - start + 1, True))))
-        windows = F.when(last >= ROLL - 1, F.transform(F.sequence(F.lit(0), last - (ROLL - 1)), lambda i: span(i, F.lit(ROLL), False)))
+
+        def is_chunk(i: Column) -> Column:
+            inner = reduce(lambda a, k: a | ends(i + k), range(1, ROLL - 1), ends(i))
+            return ((i == 0) | ends(i - 1)) & ~inner & (ends(i + (ROLL - 1)) | (i + (ROLL - 1) == last))
+
+        starts = F.when(last >= ROLL - 1, F.filter(F.sequence(F.lit(0), last - (ROLL - 1)), lambda i: ~is_chunk(i)))
+        windows = F.transform(starts, lambda i: span(i, F.lit(ROLL), False))
         return F.filter(F.concat(chunks, F.coalesce(windows, F.array())), lambda s: ((s["n"] > 1) & (s["words"] >= min_words)) | (s["words"] >= long_words))
 
     return let(facts, of)
@@ -72,8 +78,10 @@ def _spans(text: Column, min_words: int, long_words: int, bits: int) -> Column:
 
 def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, bits: int = BOUNDARY_BITS) -> DataFrame:
     """The named columns of every row (doc_id and text among them), text without repeated passages, and n_lines, n_removed (lines)."""
-    plain = pick(docs, *columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    key = F.xxhash64(*columns)
+    inner = {c: f"_in_{c}" for c in columns}  # the caller's names can't meet those used here
+    inner |= {"doc_id": "doc_id", "text": "text"}
+    plain = pick(docs, *columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).toDF(*(inner[c] for c in columns))
+    key = F.xxhash64(*(inner[c] for c in columns))
     spans = plain.where("text is not null").select(F.col("doc_id"), key.alias("row_key"), F.explode(_spans(F.col("text"), min_words, long_words, bits)).alias("s")).select("doc_id", "row_key", "s.*")
     first = F.min(F.struct("doc_id", "row_key", "start")).alias("first")
     repeated = spans.groupBy("hash", "n", "words").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "n", "words", "first")
@@ -105,5 +113,6 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     lines = _lines(F.col("text"))
     kept = F.filter(lines, lambda x, i: ~F.exists(F.col("gone"), lambda g: (i >= g["start"]) & (i < g["start"] + g["n"])))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(kept)
-    out = joined.select(*columns, kept.alias("_kept"), F.size(F.coalesce(lines, F.array())).alias("n_lines"))
-    return out.select(*(F.array_join("_kept", "\n").alias("text") if c == "text" else c for c in columns), "n_lines", (F.col("n_lines") - F.size(F.coalesce("_kept", F.array()))).alias("n_removed"))
+    out = joined.select(*inner.values(), kept.alias("_kept"), F.size(F.coalesce(lines, F.array())).alias("_lines"))
+    text = F.array_join("_kept", "\n")
+    return out.select(*((text if c == "text" else F.col(inner[c])).alias(c) for c in columns), F.col("_lines").alias("n_lines"), (F.col("_lines") - F.size(F.coalesce("_kept", F.array()))).alias("n_removed"))
