@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import keep, pick, slices
 
@@ -180,10 +181,8 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, langs: int = L
     bound = 1 << 20
     chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1, 4 * (share + 16) / r["n"]) * bound)))))
     thin = rows.withColumn("rank", rank).where(F.pmod("rank", F.lit(bound)) < F.coalesce(F.try_element_at(chance, F.col("lang")), F.lit(0)))
-    parts = [thin.where(F.col("lang") == r["lang"]).orderBy("rank", "doc_id", "text").limit(share) for r in counts]
-    taken = parts[0]
-    for p in parts[1:]:
-        taken = taken.unionByName(p)
+    order = W.partitionBy("lang").orderBy("rank", "doc_id", "text")
+    taken = thin.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share)
     found = sorted((r["rank"], r["text"], r["lang"]) for r in taken.select("rank", "text", "lang").collect())
     return train([t.encode() for _, t, _ in found], [y for _, _, y in found])
 
