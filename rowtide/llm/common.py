@@ -25,12 +25,16 @@ BLANKS = np.array([32 if b in (9, 10, 13) else b for b in range(256)], np.uint8)
 
 
 class Coded(NamedTuple):
-    """Texts as word codes: the words of text i are codes[starts[i] : starts[i + 1]], and code c means words[c]."""
+    """Texts as word codes: the words of text i are codes[starts[i] : starts[i + 1]], and code c means unique[c]."""
 
     codes: np.ndarray
-    words: list[bytes]
+    unique: pa.BinaryArray
     starts: np.ndarray
 
+    @property
+    def words(self) -> list[bytes]:
+        return self.unique.to_pylist()
+
 
 def encode_words(texts: pa.Array, table: np.ndarray) -> Coded:
     """Splits binary texts (nulls: empty) into words by a byte table and numbers the distinct ones, without a Python loop."""
@@ -49,7 +53,7 @@ def encode_words(texts: pa.Array, table: np.ndarray) -> Coded:
     offsets = np.append(places[firsts] - 1, places[-1] if len(places) else 0).astype(np.int32)
     letters = data[inside]
     coded = pa.BinaryArray.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    return Coded(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), np.searchsorted(firsts, bounds))
+    return Coded(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.searchsorted(firsts, bounds))
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -100,7 +100,7 @@ class Items:
     def hits(self, docs: Coded) -> Iterator[tuple[list[int], list[int], tuple[int, int, int]]]:
         """Per document: hit word ranges (start, end, start, end, ...), block indexes of items found, longest match (words, item, start)."""
         n = len(docs.starts) - 1
-        known = np.fromiter(map(self.vocab.get, docs.words, repeat(0)), np.int64, len(docs.words))
+        known = np.fromiter(map(self.vocab.get, docs.words, repeat(0)), np.int64, len(docs.unique))
         starts = docs.starts + np.arange(n + 1)  # with a separator after each document
         seq = np.insert(known[docs.codes], docs.starts[1:], 0)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], seq != 0, [0]]).astype(np.int8)))

@@ -103,7 +103,7 @@ class Grams:
 
     def __init__(self, texts: pa.Array, order: int) -> None:
         coded = encode_words(texts, TOKENS)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=1) for w in coded.words), np.uint64, len(coded.words))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=1) for w in coded.words), np.uint64, len(coded.unique))
         n, starts = len(coded.starts) - 1, coded.starts
         self.firsts = starts[:-1] + 2 * np.arange(n)  # place of each text's start mark
         self.ends = starts[1:] + 2 * np.arange(n) + 1

@@ -60,7 +60,7 @@ def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = encode_words(texts, WORDS)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.words), np.uint64, len(coded.words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.words), np.uint64, len(coded.unique))
     return hashes[coded.codes], coded.starts
 
 

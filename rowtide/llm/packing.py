@@ -14,12 +14,14 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs.
 SHARD_PIECES = 20_000
-#: Words that a worker's cache holds before it starts anew.
+#: Words or parts of words that a worker's cache holds before it starts anew.
 CACHE_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_key long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -54,68 +56,87 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
+def _gather(pool: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[first : first + size] for each pair, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(firsts - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
 class WordIds:
-    """Little-endian 32-bit ids of texts. A word is what ASCII white space separates; the tokenizer never joins across it.
+    """Ids of texts. A word is what ASCII white space separates; the tokenizer never joins across it.
 
-    A plain word (Latin letters, then punctuation) is two of the tokenizer's pre-tokens at most, so its letters go
-    straight to the tokenizer's merge model, and only the lower-cased letters are kept in a second cache. Any other
-    word goes through the whole tokenizer. `plain` is False where the tokenizer file doesn't lower-case and split so.
+    A plain word (letters below U+0240, then punctuation) is two of the tokenizer's pre-tokens at most, so only distinct
+    lower-cased letter parts go to the tokenizer's merge model, and are cached. Any other word goes through the whole
+    tokenizer, with a cache of its own. `plain` is False where the tokenizer file doesn't lower-case and split so.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.merge = _tokenizer(path)
         self.chars, self.plain = _byte_chars(), True
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
-        probe = ["Word.", "été,", "a", "On##", "ABC", "..."]
-        self.plain = self.of(probe) == self._slow(probe)
-        self.known = {}
+        self.others: dict[str, bytes] = {}
+        probe = ["Word.", "été,", "a", "On##", "ABC", "...", "Ça"]
+        self.plain = self.of(pa.array(probe, pa.binary()))[0].tobytes() == b"".join(self._whole(probe))
 
     def _bare(self, texts: list[str]) -> list[bytes]:
         """Ids of single pre-tokens, already lower-cased."""
         marks = [t if t.isascii() else t.encode().decode("latin-1").translate(self.chars) for t in texts]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.merge.encode_batch_fast(marks, add_special_tokens=False)]
-
-    def _slow(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        parts, cut, rest = self.parts, [], []
-        for word in words:
-            head = word.rstrip(TAIL)
-            low = head.lower()
-            if not head or low.isalpha() and head.isalpha() and max(low) < "\u0250" and max(head) < "\u0250":
-                cut.append((word, low, word[len(head) :]))
-            else:
-                rest.append(word)
+        return [array("I", e.ids).tobytes() for e in self.merge.encode_batch_fast(marks, add_special_tokens=False)]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    @staticmethod
+    def _cached(cache: dict[str, bytes], encode, texts: list[str], step: int) -> list[bytes]:
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = [t for t in texts if t not in cache]
+        for k in range(0, len(new), step):
+            cache.update(zip(new[k : k + step], encode(new[k : k + step])))
+        return list(map(cache.__getitem__, texts))
+
+    def of(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and how many each has."""
+        n = len(words)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        text = words.cast(pa.string())
+        low = pc.utf8_lower(text)
+        head = pc.utf8_rtrim(low, characters=TAIL)
+        size = pc.binary_length(low).to_numpy().astype(np.int64)
+        tail_size = size - pc.binary_length(head).to_numpy()
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1]
+        largest = np.maximum.reduceat(np.frombuffer(words.buffers()[2], np.uint8), offsets[:-1])
+        fast = (largest <= 0xC8) & ~pc.match_substring(text, "\u0130").to_numpy(zero_copy_only=False)
+        fast &= pc.or_(pc.utf8_is_alpha(head), pc.equal(head, "")).to_numpy(zero_copy_only=False)
         if not self.plain:
-            cut, rest = [], words
-        new = list({p for _, low, tail in cut for p in (low, tail)}.difference(parts))
-        for k in range(0, len(new), 20_000):
-            parts.update(zip(new[k : k + 20_000], self._bare(new[k : k + 20_000])))
-        self.known.update((word, parts[low] + parts[tail]) for word, low, tail in cut)
-        for k in range(0, len(rest), 5_000):
-            self.known.update(zip(rest[k : k + 5_000], self._slow(rest[k : k + 5_000])))
-
-    def of(self, words: list[str]) -> list[bytes]:
-        """Ids of each word."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": b""}
-        self._learn([w for w in words if w not in self.known])
-        return list(map(self.known.__getitem__, words))
+            fast[:] = False
+        # tails as an array of their own: the last bytes of each lower-cased word
+        ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset + 1 : low.offset + n + 1].astype(np.int64)
+        tail_bytes = _gather(np.frombuffer(low.buffers()[2], np.uint8), ends - tail_size, tail_size)
+        tail = pa.StringArray.from_buffers(n, pa.py_buffer(np.append(0, np.cumsum(tail_size)).astype(np.int32)), pa.py_buffer(tail_bytes))
+        parts = pa.chunked_array([head.filter(pa.array(fast)), tail.filter(pa.array(fast))]).combine_chunks().dictionary_encode()
+        part_ids = self._cached(self.parts, self._bare, parts.dictionary.to_pylist(), 20_000)
+        other_ids = self._cached(self.others, self._whole, text.filter(pa.array(~fast)).to_pylist(), 5_000)
+        pool = np.frombuffer(b"".join([*part_ids, *other_ids]), "<u4")
+        sizes = np.fromiter((len(x) // 4 for x in [*part_ids, *other_ids]), np.int64, len(part_ids) + len(other_ids))
+        firsts = np.cumsum(sizes) - sizes
+        # each word is two stretches of the pool; the second of a word that isn't plain is empty
+        at, m = np.zeros((n, 2), np.int64), int(fast.sum())
+        code = parts.indices.to_numpy()
+        at[fast, 0], at[fast, 1] = code[:m], code[m:]
+        at[~fast, 0] = len(part_ids) + np.arange(n - m)
+        length = np.where(fast[:, None] | np.array([True, False]), sizes[at] if len(sizes) else 0, 0)
+        return _gather(pool, firsts[at].ravel(), length.ravel()), length.sum(axis=1)
 
     def __call__(self, texts: pa.Array) -> list[memoryview]:
         """Ids of each text, as little-endian 32-bit numbers."""
         coded = encode_words(texts, BLANKS)
-        data = self.of([w.decode() for w in coded.words])
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        pool, firsts = np.frombuffer(b"".join(data), "<u4"), np.cumsum(sizes) - sizes
+        pool, sizes = self.of(coded.unique)
+        firsts = np.cumsum(sizes) - sizes
         counts = sizes[coded.codes]
-        ends = np.cumsum(counts)
-        ids = pool[np.repeat(firsts[coded.codes] - ends + counts, counts) + np.arange(int(counts.sum()))]
-        bounds = np.append(0, ends)[coded.starts]
+        ids = _gather(pool, firsts[coded.codes], counts)
+        bounds = np.append(0, np.cumsum(counts))[coded.starts]
         return [memoryview(ids[a:b]).cast("B") if b > a else memoryview(b"") for a, b in zip(bounds[:-1], bounds[1:])]
 
 
