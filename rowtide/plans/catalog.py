@@ -18,7 +18,7 @@ from ..operators.flatten import FlattenOptions, flatten
 from ..operators.outbox import OutboxOptions, outbox
 from ..operators.udf import mark_synthetic, process_batch, route
 from ..schema import dedup, events, full_table, idempotency_key, source_struct
-from ..sinks import columnstore, envelopes, lake
+from ..sinks import avro, columnstore, envelopes, lake
 from ..sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -579,6 +579,101 @@ def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return progress.cache_stats(counters)
 
 
+# -- more values, and streams -------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'user_id' AS name, 'string' AS types, count(*) FILTER (event_id % 20 = 0) AS n, 5 AS n_samples FROM events")
+def drift_by_column(spark: SparkSession, d: str) -> DataFrame:
+    out = drift.by_column(drift.drift_events(_faulty(spark, d), _declared(spark)))
+    return out.select("name", F.array_join("types", ",").alias("types"), "n", F.size("samples").alias("n_samples"))
+
+
+@query("SELECT 'extra' AS name, count(*) FILTER (event_id % 30 <> 0) AS events FROM events UNION ALL SELECT 'note', count(*) FROM events")
+def missing_columns(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("app", "events", n) for n in ("event_id", "extra", "note")]
+    return registry.missing(_faulty(spark, d), spark.createDataFrame(rows, "db string, `table` string, name string")).select("name", "events")
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS truncated FROM orders")
+def dlq_truncation(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.lit('{"k":"'), F.repeat(F.lit("x"), F.when(F.col("o_orderkey") % 3 == 0, 300).otherwise(10)), F.lit('"}'))
+    rows = table(spark, d, "orders").select("o_orderkey", body.alias("after"))
+    before, after, large = dlq.truncate_payload(F.lit(None).cast("string"), F.col("after"), 256)
+    return rows.select("o_orderkey", (large & before.isNull() & after.contains("_truncated")).alias("truncated"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'null' ELSE 'number' END AS value_type, CASE WHEN event_id % 20 = 0 THEN 'string' ELSE 'integer' END AS user_type, CASE WHEN event_id % 30 = 0 THEN 'integer' ELSE 'null' END AS extra_type FROM events WHERE value <> floor(value)")
+def json_type_names(spark: SparkSession, d: str) -> DataFrame:
+    e = _faulty(spark, d).join(table(spark, d, "events").where("value <> floor(value)").select(F.col("event_id").cast("string").alias("event_id")), "event_id", "left_semi")
+    kind = lambda c: drift.json_type(paths.get(paths.image("after"), c))
+    return e.select(F.col("event_id").cast("bigint").alias("event_id"), kind("value").alias("value_type"), kind("user_id").alias("user_type"), kind("extra").alias("extra_type"))
+
+
+@query("SELECT s_suppkey, 4 AS n, s_suppkey AS first, 'a,\"' || s_suppkey AS quoted FROM supplier")
+def pg_arrays(spark: SparkSession, d: str) -> DataFrame:
+    literal = F.concat(F.lit("{"), F.col("s_suppkey"), F.lit(',NULL,t,"a,\\"'), F.col("s_suppkey"), F.lit('"}'))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.parse_json(ingest.pg_array_json(literal)).alias("v"))
+    at = lambda k, t: F.try_variant_get("v", f"$[{k}]", t)
+    return rows.select("s_suppkey", F.size(F.col("v").try_cast("array<variant>")).alias("n"), at(0, "bigint").alias("first"), at(3, "string").alias("quoted"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 11 <> 0 AND o_orderkey <= 2147483647 AS key_as_int, o_orderkey % 7 <> 0 AS cust_as_long, o_totalprice AS price FROM orders")
+def coercion_validity(spark: SparkSession, d: str) -> DataFrame:
+    row = paths.image("after")
+    v = lambda c: paths.get(row, c)
+    key, _ = coerce.int32(v("o_orderkey"))
+    _, cust_ok = coerce.int64(v("o_custkey"))
+    return _bad_orders(spark, d).select(F.col("event_id").cast("bigint").alias("o_orderkey"), key.isNotNull().alias("key_as_int"), cust_ok.alias("cust_as_long"), coerce.float64(v("o_totalprice"))[0].alias("price"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 < 5 THEN -1 WHEN s_suppkey % 10 > 5 THEN 1 ELSE 0 END AS lsn_order, CASE WHEN s_suppkey < 50 THEN -1 WHEN s_suppkey > 50 THEN 1 ELSE 0 END AS binlog_order FROM supplier")
+def compare_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    lsn = progress.compare(progress.lsn_order(F.concat(F.lit("A/"), F.hex(k % 10))), progress.lsn_order(F.lit("A/5")))
+    log = progress.compare(progress.binlog_order(F.concat(F.lit("b."), k.cast("string")), F.lit(4)), progress.binlog_order(F.lit("b.50"), F.lit(4)))
+    return table(spark, d, "supplier").select("s_suppkey", lsn.alias("lsn_order"), log.alias("binlog_order"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS is_text, n_name AS name FROM nation")
+def mysql_values(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("n_nationkey") % 2 == 0, F.encode("n_name", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FF")), F.encode("n_name", "UTF-8")))
+    v = F.parse_json(ingest.mysql_json(raw))
+    rows = table(spark, d, "nation").select("n_nationkey", v.alias("v"))
+    return rows.select("n_nationkey", (paths.kind_of(F.col("v")) == "string").alias("is_text"), F.coalesce(F.when(paths.kind_of(F.col("v")) == "string", F.col("v").try_cast("string")), F.decode(F.substring(coerce.binary(F.col("v"))[0], 2, 1000), "UTF-8")).alias("name"))
+
+
+@query("SELECT count(DISTINCT (event_id % 30 = 0, event_id % 20 = 0, event_id % 50 = 0)) AS structures FROM events WHERE value <> floor(value)")
+def structure_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    e = _faulty(spark, d).where("int(event_id) >= 0").join(table(spark, d, "events").where("value <> floor(value)").select(F.col("event_id").cast("string").alias("event_id")), "event_id", "left_semi")
+    return e.select(sensing.fingerprint("after").alias("fp")).agg(F.count_distinct("fp").alias("structures"))
+
+
+@query("SELECT o_orderkey, true AS framed, o_orderkey % 2 = 1 AS odd FROM orders")
+def avro_wire_format(spark: SparkSession, d: str) -> DataFrame:
+    schema = avro.from_columns("Order", [ColumnInfo("k", "bigint"), ColumnInfo("p", "double")])
+    rows = table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))).alias("j"))
+    out = avro.encode_rows(rows, "j", schema, 258)
+    first = F.conv(F.hex(F.substring("avro", 7, 1)), 16, 10).cast("int")  # the low bits of the key's zigzag form
+    return out.select("o_orderkey", (F.hex(F.substring("avro", 1, 5)) == "0000000102").alias("framed"), (F.floor(first / 2) % 2 == 1).alias("odd"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
+def stream_filtered_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A file stream run to its end: filter, deduplicate by key, count by type. The result is as small as there are types."""
+    import posixpath
+    import uuid
+
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    kept = rows.where("event_type <> 'view'").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "365 days").dropDuplicatesWithinWatermark(["event_id"])
+    name = f"counts_{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    writer = kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    if base:
+        writer = writer.option("checkpointLocation", posixpath.join(base, name))
+    writer.start().awaitTermination()
+    return spark.table(name)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Orders as snapshot events, through operation, table and field gates, as a flat typed table."""
     kept = EventFilter(ops=("r",), include=("shop.ord*",), predicates=(Predicate("o_totalprice", "gt", 100_000),))(order_events(spark, d))

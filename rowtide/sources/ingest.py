@@ -6,11 +6,14 @@ log's reader has to do with them is here as projections.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths
 from ..schema import EVENT_SCHEMA, events, source_struct
@@ -192,6 +195,13 @@ def _item(word: str) -> object:
     return word
 
 
+@F.pandas_udf(T.StringType())
+def pg_array_json(texts: pd.Series) -> pd.Series:
+    """Array literals as JSON arrays; null for what isn't one."""
+    parsed = texts.map(pg_array, na_action="ignore")
+    return parsed.map(lambda x: json.dumps(x) if isinstance(x, list) else None)
+
+
 def mysql_json(value: Column, binary: bool = False) -> Column:
     """A binary value as `{"_base64": ...}`; text as it is, if it is text."""
     wrapped = F.concat(F.lit('{"_base64":"'), F.base64(value), F.lit('"}'))
