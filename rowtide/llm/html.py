@@ -45,8 +45,8 @@ AWAY = ("nav", "aside", "footer", "form", "button", "select", "datalist", "templ
 AWAY_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form", "note")
 AWAY_WORDS = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|comments?|commentlist|disqus|respond|replies|reply|sidebar|side|widget\w*|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|footer|foot|header|masthead|topbar|cookie\w*|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|copyright|legal|disclaimer|tags?|meta|skip|hidden)(?:$|[-_ ])",
+    r"nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|topbar|cookie\w*|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
+    r"signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|copyright|legal|disclaimer|tags?|meta|skip|hidden)(?:$|[-_ ])|(?:^| )(?:(?:site|page|global|top|main)[-_]?)?header(?:$| )",
     re.I,
 )
 _MARKUP = re.compile(

@@ -42,6 +42,7 @@ def test_extraction():
         ("<div class=main><div class='menu'>x y z</div><p>Body text here.</p></div>", "Body text here."),
         ("<p title='a > b'>quoted attribute</p>", "quoted attribute"),
         ("<main><header><h1>Title</h1></header><p>Text.</p><footer>by me</footer></main>", "Title\nText."),
+        ("<div class='site-header'>My site of things</div><div class='post-header'><h1>Title</h1></div><p>Some text.</p>", "Title\nSome text."),
         ("<p hidden>secret</p><p>shown text</p>", "shown text"),
     ],
 )
