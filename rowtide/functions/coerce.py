@@ -24,18 +24,18 @@ def _of(v: Column, value: Column) -> Coerced:
 
 
 def _whole(v: Column) -> Column:
-    """Integers only, as decimals, so that nothing wraps."""
-    n = v.try_cast("decimal(38,10)")
-    return F.when((paths.kind_of(v) == "number") & (n == F.floor(n)), n)
+    """Numbers without a fraction that a long holds."""
+    n = v.try_cast("bigint")
+    return F.when((paths.kind_of(v) == "number") & (n.cast("double") == v.try_cast("double")), n)
 
 
 def int32(v: Column) -> Coerced:
-    return _of(v, F.when(_whole(v).between(-(2**31), 2**31 - 1), _whole(v).try_cast("int")))
+    return _of(v, _whole(v).try_cast("int"))
 
 
 def int64(v: Column) -> Coerced:
     text = F.when((paths.kind_of(v) == "string") & v.try_cast("string").rlike(r"^[+-]?\d+$"), v.try_cast("string")).try_cast("bigint")
-    return _of(v, F.coalesce(_whole(v).try_cast("bigint"), text))
+    return _of(v, F.coalesce(_whole(v), text))
 
 
 def float64(v: Column) -> Coerced:
@@ -70,7 +70,7 @@ def timestamp(v: Column) -> Coerced:
     text = v.try_cast("string")
     zone = F.when(text.rlike(r"(Z|z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
     shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}")
-    return _of(v, F.when((paths.kind_of(v) == "string") & shaped, F.try_to_timestamp(zone)).otherwise(F.timestamp_millis(_whole(v).try_cast("bigint"))))
+    return _of(v, F.when((paths.kind_of(v) == "string") & shaped, F.try_to_timestamp(zone)).otherwise(F.timestamp_millis(_whole(v))))
 
 
 def truncated(text: Column, precision: int, scale: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,13 @@ def image(json_text: Column | str) -> Column:
     return F.try_parse_json(F.col(json_text) if isinstance(json_text, str) else json_text)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are evaluated once a row. The one-row generator keeps the optimizer from copying their
+    expressions into each filter and branch above, where each copy would parse the image anew."""
+    held = df.withColumn("_computed", F.struct(*(c.alias(n) for n, c in columns.items())))
+    return held.select(*(F.col(f"`{c}`") for c in df.columns), F.inline(F.array("_computed")))
+
+
 def path_of(dotted: str) -> str:
     """Variant path of a dotted path; objects only, so no index syntax reaches it."""
     return "$" + "".join("[" + json.dumps(p).replace('"', "'") + "]" if "'" not in p else f'["{p}"]' for p in dotted.split("."))
@@ -27,18 +34,16 @@ def get(v: Column, dotted: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path_of(dotted), kind)
 
 
+#: First letters of a variant's type name, and its kind.
+_KINDS = {
+    "STR": "string", "BOO": "boolean", "ARR": "array", "OBJ": "object", "BIG": "number", "DOU": "number", "DEC": "number", "FLO": "number", "INT": "number", "SMA": "number", "TIN": "number", "VOI": "void",
+}
+
+
 def kind_of(v: Column) -> Column:
     """number, string, boolean, array, object, other; null for null."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(None))
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | s.startswith("DECIMAL"), "number")
-        .otherwise("other")
-    )
+    known = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
+    return F.nullif(F.coalesce(F.try_element_at(known, F.substring(F.schema_of_variant(v), 1, 3)), F.when(v.isNotNull(), "other")), F.lit("void"))
 
 
 def exists(v: Column, dotted: str) -> Column:

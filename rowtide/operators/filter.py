@@ -82,18 +82,20 @@ class EventFilter:
     predicates: Sequence[Predicate] = field(default_factory=tuple)
     mode: str = "all"
 
-    def column(self) -> Column:
+    def gate(self) -> Column:
+        """Operation and table, which are columns of their own: this part reaches the scan."""
+        ops = F.col("op").isin(*self.ops) if self.ops else F.lit(True)
+        return ops & patterns.allowed(self.include, self.exclude, F.col("source.db"), F.col("source.table"))
+
+    def __call__(self, events: DataFrame) -> DataFrame:
         if self.mode not in ("all", "any"):
             raise ValueError(f"unknown mode {self.mode!r}")
-        gate = F.col("op").isin(*self.ops) if self.ops else F.lit(True)
-        gate = gate & patterns.allowed(self.include, self.exclude, F.col("source.db"), F.col("source.table"))
+        gated = events.where(self.gate())
         if not self.predicates:
-            return gate
-        tests = [p.column() for p in self.predicates]
-        return gate & reduce((lambda a, b: a & b) if self.mode == "all" else (lambda a, b: a | b), tests)
-
-    def __call__(self, events: DataFrame) -> DataFrame:
-        return events.where(self.column())
+            return gated
+        images = {"_after": paths.image("after")} | ({"_before": paths.image("before")} if any(p.kind == "changed" for p in self.predicates) else {})
+        tests = [predicate(p, F.col("_before") if "_before" in images else F.lit(None), F.col("_after")) for p in self.predicates]
+        return paths.computed(gated, **images).where(reduce((lambda a, b: a & b) if self.mode == "all" else (lambda a, b: a | b), tests)).drop(*images)
 
 
 @dataclass(frozen=True)

@@ -7,11 +7,10 @@ the schema is known, `flatten_struct` is a plain projection that Catalyst can pr
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,25 +78,23 @@ def flatten_value(value: Any, options: FlattenOptions) -> Any:
     return out
 
 
-def _batches(options: FlattenOptions, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _flattener(options: FlattenOptions):
     def one(text: str | None) -> str | None:
-        if text is None or "{" not in text and "[" not in text:
+        if text is None or "{" not in text[1:] and "[" not in text:  # a flat object already
             return text
         return json.dumps(flatten_value(json.loads(text), options), separators=(",", ":"), ensure_ascii=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in columns:
-                k = batch.schema.get_field_index(name)
-                batch = batch.set_column(k, name, pa.array([one(t) for t in batch.column(k).to_pylist()], pa.string()))
-            yield batch
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
 
     return run
 
 
 def flatten(events: DataFrame, options: FlattenOptions = FlattenOptions(), columns: tuple[str, ...] = ("before", "after")) -> DataFrame:
-    """Both images flattened; a collision under `error` fails the job, as it would a batch."""
-    return events.mapInArrow(_batches(options, list(columns)), events.schema)
+    """Both images flattened; only these columns travel to Python. A collision under `error` fails the job, as it would a batch."""
+    run = _flattener(options)
+    return events.withColumns({c: run(c) for c in columns})
 
 
 def flatten_struct(value: Column, kind: T.StructType, separator: str = "__", max_depth: int | None = None) -> list[Column]:

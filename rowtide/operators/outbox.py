@@ -37,7 +37,7 @@ def is_outbox(options: OutboxOptions) -> Column:
 
 def outbox(events: DataFrame, options: OutboxOptions = OutboxOptions()) -> DataFrame:
     """Drops outbox rows that aren't inserts of an object; routes the rest and puts the payload in the row's place."""
-    row = paths.image("after")
+    row = F.col("_row")
     mine = is_outbox(options)
     usable = (F.col("op") == "c") & F.coalesce(paths.kind_of(row) == "object", F.lit(False))
     scalar = lambda name: paths.scalar_text(row, name)
@@ -57,14 +57,15 @@ def outbox(events: DataFrame, options: OutboxOptions = OutboxOptions()) -> DataF
     if options.strict:
         for name, value in lacks.items():
             routing = F.when(value.isNull(), F.raise_error(F.lit(f"outbox message without {name}")).cast(ROUTING)).otherwise(routing)
-    kept = events.where(~mine | usable).withColumn("_mine", mine)
+    parsed = paths.computed(events, _row=F.when(mine, paths.image("after")), _mine=mine)
+    kept = parsed.where(~F.col("_mine") | usable)
     after = F.when(F.col("_mine"), F.to_json(F.coalesce(payload, row))).otherwise(F.col("after"))
     return kept.withColumns({
         "routing": F.when(F.col("_mine"), routing).otherwise(F.col("routing")),
         "before": F.when(F.col("_mine"), F.lit(None)).otherwise(F.col("before")),
         "after": after,
         "source": F.col("source").withField("schema", F.when(F.col("_mine"), F.lit(None).cast("string")).otherwise(F.col("source.schema"))),
-    }).drop("_mine")
+    }).drop("_mine", "_row")
 
 
 def capture(events: DataFrame, tables: Sequence[str] = (), prefixes: Sequence[str] = ()) -> DataFrame:

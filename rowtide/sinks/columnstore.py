@@ -20,17 +20,18 @@ def project(events: DataFrame, columns: list[ColumnInfo], options: TypeOptions =
     """(rows with _op, _version, _deleted, _source_ts; bad events). Deletes give their old image. A null in a NOT NULL column is an error, and so
     is a value outside its type; nothing wraps around."""
     row = paths.image(F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after")))
-    held = events.withColumn("_row", row)
-    out, checks = [], []
-    for c in columns:
-        value, valid = coercion(spark_type(c, options))(paths.get(F.col("_row"), c.name))
-        out.append(value.cast(spark_type(c, options)).alias(c.name))
+    out: dict[str, Column] = {}
+    checks: list[Column] = []
+    fields = {f"_field_{i}": paths.get(F.col("_row"), c.name) for i, c in enumerate(columns)}
+    for i, c in enumerate(columns):
+        value, valid = coercion(spark_type(c, options))(F.col(f"_field_{i}"))
+        out[c.name] = value.cast(spark_type(c, options))
         checks.append(F.when(~valid, F.lit(f"{c.name}: wrong type")))
         if not c.nullable:
             checks.append(F.when(value.isNull(), F.lit(f"{c.name}: null")))
-    flagged = held.withColumn("error", F.coalesce(*checks))
+    flagged = paths.computed(paths.computed(paths.computed(events, _row=row), **fields), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
     extra = [F.col("op").alias("_op"), version().alias("_version"), (F.col("op") == "d").cast("int").alias("_deleted"), F.timestamp_millis("ts_ms").alias("_source_ts")]
-    return flagged.where("error is null").select(*out, *extra), flagged.where("error is not null").drop("_row")
+    return flagged.where("error is null").select(*(F.col(f"_values.`{n}`") for n in out), *extra), flagged.where("error is not null").drop("_row", "_values", *fields)
 
 
 def current_state(log: DataFrame, key: list[str], order: tuple[str, ...] = ("_version",)) -> DataFrame:

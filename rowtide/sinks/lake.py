@@ -38,19 +38,19 @@ def typed(events: DataFrame, columns: list[ColumnInfo] | None, options: TypeOpti
     the envelope columns alone. A row with one bad value is bad."""
     if columns is None:
         return events.select(*meta_columns()), events.limit(0).withColumn("error", F.lit(None).cast("string"))
-    out: list[Column] = []
+    out: dict[str, Column] = {}
     checks: list[Column] = []
-    for c in columns:
+    fields = {f"_{side}_{i}": paths.get(F.col(f"_{side}"), c.name) for i, c in enumerate(columns) for side in ("before", "after")}
+    for i, c in enumerate(columns):
         of = coercion(spark_type(c, options))
         for side in ("before", "after"):
-            value, valid = of(paths.get(F.col(f"_{side}"), c.name))
-            out.append(value.cast(spark_type(c, options)).alias(f"{side}_{c.name}"))
+            value, valid = of(F.col(f"_{side}_{i}"))
+            out[f"{side}_{c.name}"] = value.cast(spark_type(c, options))
             checks.append(F.when(~valid, F.lit(f"{side}.{c.name}: not {spark_type(c, options).simpleString()}")))
-    parsed = events.withColumns({f"_{s}": paths.image(s) for s in ("before", "after")})
-    flagged = parsed.withColumn("error", F.coalesce(*checks) if checks else F.lit(None).cast("string"))
-    return flagged.where("error is null").select(*meta_columns(), *out), flagged.where("error is not null").drop("_before", "_after")
-
-
+    parsed = paths.computed(events, **{f"_{s}": paths.image(s) for s in ("before", "after")})
+    flagged = paths.computed(paths.computed(parsed, **fields), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
+    good = flagged.where("error is null").select(*meta_columns(), *(F.col(f"_values.`{n}`") for n in out))
+    return good, flagged.where("error is not null").drop("_before", "_after", "_values", *fields)
 
 
 def partition_columns(df: DataFrame, table: str = "source_table", ts_ms: str = "ts_ms") -> DataFrame:
