@@ -1,6 +1,6 @@
 """Typed values from JSON fields, each with a validity flag, so that bad rows can be split off before a write.
 
-A coercion gives (value, valid). Null and missing are valid nulls. Nothing here can fail a job.
+A coercion takes a value and, if it is at hand, its kind, and gives (value, valid). Null and missing are valid nulls. Nothing here can fail a job.
 """
 
 from __future__ import annotations
@@ -23,54 +23,59 @@ def _of(v: Column, value: Column) -> Coerced:
     return value, _absent(v) | value.isNotNull()
 
 
-def _whole(v: Column) -> Column:
+def _kind(v: Column, k: Column | None) -> Column:
+    return paths.kind_of(v) if k is None else k
+
+
+def _whole(v: Column, k: Column | None = None) -> Column:
     """Numbers without a fraction that a long holds."""
-    n = v.try_cast("bigint")
-    return F.when((paths.kind_of(v) == "number") & (n.cast("double") == v.try_cast("double")), n)
+    number = F.when(_kind(v, k) == "number", v)
+    n = number.try_cast("bigint")
+    return F.when(n.cast("double") == number.try_cast("double"), n)
 
 
-def int32(v: Column) -> Coerced:
-    return _of(v, _whole(v).try_cast("int"))
+def int32(v: Column, k: Column | None = None) -> Coerced:
+    return _of(v, _whole(v, k).try_cast("int"))
 
 
-def int64(v: Column) -> Coerced:
-    text = F.when((paths.kind_of(v) == "string") & v.try_cast("string").rlike(r"^[+-]?\d+$"), v.try_cast("string")).try_cast("bigint")
-    return _of(v, F.coalesce(_whole(v), text))
+def int64(v: Column, k: Column | None = None) -> Coerced:
+    text = F.when((_kind(v, k) == "string") & v.try_cast("string").rlike(r"^[+-]?\d+$"), v.try_cast("string")).try_cast("bigint")
+    return _of(v, F.coalesce(_whole(v, k), text))
 
 
-def float64(v: Column) -> Coerced:
-    return _of(v, F.when(paths.kind_of(v) == "number", v.try_cast("double")))
+def float64(v: Column, k: Column | None = None) -> Coerced:
+    return _of(v, F.when(_kind(v, k) == "number", v.try_cast("double")))
 
 
-def float32(v: Column) -> Coerced:
-    return _of(v, F.when(paths.kind_of(v) == "number", v.try_cast("float")))
+def float32(v: Column, k: Column | None = None) -> Coerced:
+    return _of(v, F.when(_kind(v, k) == "number", v.try_cast("float")))
 
 
-def boolean(v: Column) -> Coerced:
-    n = _whole(v)
-    return _of(v, F.when(paths.kind_of(v) == "boolean", v.try_cast("boolean")).when(n == 0, False).when(n == 1, True))
+def boolean(v: Column, k: Column | None = None) -> Coerced:
+    n = _whole(v, k)
+    return _of(v, F.when(_kind(v, k) == "boolean", v.try_cast("boolean")).when(n == 0, False).when(n == 1, True))
 
 
-def utf8(v: Column) -> Coerced:
-    return _of(v, F.when(~_absent(v), F.when(paths.kind_of(v) == "string", v.try_cast("string")).otherwise(F.to_json(v))))
+def utf8(v: Column, k: Column | None = None) -> Coerced:
+    return _of(v, F.when(~_absent(v), F.when(_kind(v, k) == "string", v.try_cast("string")).otherwise(F.to_json(v))))
 
 
-def binary(v: Column) -> Coerced:
+def binary(v: Column, k: Column | None = None) -> Coerced:
     wrapped = F.try_to_binary(paths.get(v, "_base64", "string"), F.lit("base64"))
-    return _of(v, F.when(paths.kind_of(v) == "string", F.encode(v.try_cast("string"), "UTF-8")).otherwise(wrapped))
+    return _of(v, F.when(_kind(v, k) == "string", F.encode(v.try_cast("string"), "UTF-8")).otherwise(wrapped))
 
 
-def date(v: Column) -> Coerced:
+def date(v: Column, k: Column | None = None) -> Coerced:
     text = v.try_cast("string")
-    return _of(v, F.when((paths.kind_of(v) == "string") & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
+    return _of(v, F.when((_kind(v, k) == "string") & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
 
 
-def timestamp(v: Column) -> Coerced:
+def timestamp(v: Column, k: Column | None = None) -> Coerced:
     """RFC 3339, or without a zone as UTC; numbers are milliseconds."""
     text = v.try_cast("string")
     zone = F.when(text.rlike(r"(Z|z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
     shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}")
-    return _of(v, F.when((paths.kind_of(v) == "string") & shaped, F.try_to_timestamp(zone)).otherwise(F.timestamp_millis(_whole(v))))
+    return _of(v, F.when((_kind(v, k) == "string") & shaped, F.try_to_timestamp(zone)).otherwise(F.timestamp_millis(_whole(v, k))))
 
 
 def truncated(text: Column, precision: int, scale: int) -> Column:
@@ -82,9 +87,9 @@ def truncated(text: Column, precision: int, scale: int) -> Column:
 def decimal(precision: int, scale: int) -> Callable[[Column], Coerced]:
     """Strings are truncated, JSON numbers rounded."""
 
-    def of(v: Column) -> Coerced:
-        rounded = F.when(paths.kind_of(v) == "number", v.try_cast("decimal(38,18)")).try_cast(f"decimal({precision},{scale})")
-        return _of(v, F.when(paths.kind_of(v) == "string", truncated(v.try_cast("string"), precision, scale)).otherwise(rounded))
+    def of(v: Column, k: Column | None = None) -> Coerced:
+        rounded = F.when(_kind(v, k) == "number", v.try_cast("decimal(38,18)")).try_cast(f"decimal({precision},{scale})")
+        return _of(v, F.when(_kind(v, k) == "string", truncated(v.try_cast("string"), precision, scale)).otherwise(rounded))
 
     return of
 
@@ -92,7 +97,7 @@ def decimal(precision: int, scale: int) -> Callable[[Column], Coerced]:
 def array(item: Callable[[Column], Coerced]) -> Callable[[Column], Coerced]:
     """A bad item makes the list invalid."""
 
-    def of(v: Column) -> Coerced:
+    def of(v: Column, k: Column | None = None) -> Coerced:
         items = v.try_cast("array<variant>")
         good = F.coalesce(F.forall(items, lambda x: item(x)[1]), F.lit(False))
         return F.when(good, F.transform(items, lambda x: item(x)[0])), _absent(v) | good
@@ -100,7 +105,7 @@ def array(item: Callable[[Column], Coerced]) -> Callable[[Column], Coerced]:
     return of
 
 
-def string_map(v: Column) -> Coerced:
+def string_map(v: Column, k: Column | None = None) -> Coerced:
     entries = v.try_cast("map<string,variant>")
     return _of(v, F.transform_values(entries, lambda _, x: utf8(x)[0]))
 

@@ -23,15 +23,16 @@ def project(events: DataFrame, columns: list[ColumnInfo], options: TypeOptions =
     out: dict[str, Column] = {}
     checks: list[Column] = []
     fields = {f"_field_{i}": paths.get(F.col("_row"), c.name) for i, c in enumerate(columns)}
+    kinds = {f"{n}_kind": paths.kind_of(F.col(n)) for n in fields}
     for i, c in enumerate(columns):
-        value, valid = coercion(spark_type(c, options))(F.col(f"_field_{i}"))
+        value, valid = coercion(spark_type(c, options))(F.col(f"_field_{i}"), F.col(f"_field_{i}_kind"))
         out[c.name] = value.cast(spark_type(c, options))
         checks.append(F.when(~valid, F.lit(f"{c.name}: wrong type")))
         if not c.nullable:
             checks.append(F.when(value.isNull(), F.lit(f"{c.name}: null")))
-    flagged = paths.computed(paths.computed(paths.computed(events, _row=row), **fields), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
+    flagged = paths.computed(paths.computed(paths.computed(paths.computed(events, _row=row), **fields), **kinds), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
     extra = [F.col("op").alias("_op"), version().alias("_version"), (F.col("op") == "d").cast("int").alias("_deleted"), F.timestamp_millis("ts_ms").alias("_source_ts")]
-    return flagged.where("error is null").select(*(F.col(f"_values.`{n}`") for n in out), *extra), flagged.where("error is not null").drop("_row", "_values", *fields)
+    return flagged.where("error is null").select(*(F.col(f"_values.`{n}`") for n in out), *extra), flagged.where("error is not null").drop("_row", "_values", *fields, *kinds)
 
 
 def current_state(log: DataFrame, key: list[str], order: tuple[str, ...] = ("_version",)) -> DataFrame:

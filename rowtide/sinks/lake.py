@@ -41,16 +41,17 @@ def typed(events: DataFrame, columns: list[ColumnInfo] | None, options: TypeOpti
     out: dict[str, Column] = {}
     checks: list[Column] = []
     fields = {f"_{side}_{i}": paths.get(F.col(f"_{side}"), c.name) for i, c in enumerate(columns) for side in ("before", "after")}
+    kinds = {f"{n}_kind": paths.kind_of(F.col(n)) for n in fields}
     for i, c in enumerate(columns):
         of = coercion(spark_type(c, options))
         for side in ("before", "after"):
-            value, valid = of(F.col(f"_{side}_{i}"))
+            value, valid = of(F.col(f"_{side}_{i}"), F.col(f"_{side}_{i}_kind"))
             out[f"{side}_{c.name}"] = value.cast(spark_type(c, options))
             checks.append(F.when(~valid, F.lit(f"{side}.{c.name}: not {spark_type(c, options).simpleString()}")))
     parsed = paths.computed(events, **{f"_{s}": paths.image(s) for s in ("before", "after")})
-    flagged = paths.computed(paths.computed(parsed, **fields), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
+    flagged = paths.computed(paths.computed(paths.computed(parsed, **fields), **kinds), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
     good = flagged.where("error is null").select(*meta_columns(), *(F.col(f"_values.`{n}`") for n in out))
-    return good, flagged.where("error is not null").drop("_before", "_after", "_values", *fields)
+    return good, flagged.where("error is not null").drop("_before", "_after", "_values", *fields, *kinds)
 
 
 def partition_columns(df: DataFrame, table: str = "source_table", ts_ms: str = "ts_ms") -> DataFrame:
