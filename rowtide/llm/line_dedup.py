@@ -4,8 +4,10 @@
    zero, and a line of `LONG_WORDS` words or more is a chunk by itself; so boundaries depend on nearby lines only, and
    text that is inserted earlier doesn't shift them. A chunk counts if it has several lines and `MIN_WORDS` words, or
    `LONG_WORDS` words.
-2. A repeated passage's first and last lines lie in chunks that reach outside it. To find these edges, windows of
-   `ROLL` lines are fingerprinted as well; they matter only where no repeated chunk covers both lines.
+2. A repeated passage's first and last lines lie in chunks that reach outside it. To find these edges, windows are
+   fingerprinted as well: from each line forward and from each line back, the shortest run of two lines or more that
+   has `MIN_WORDS` words. So each line of text in a repeated passage of so many words lies in a window that doesn't
+   leave the passage, however short its lines are. Windows matter only where repeated chunks don't cover all their lines.
 3. Fingerprints (hash, lines, words) are counted over all documents; each that occurs twice or more has a first
    occurrence, by doc_id.
 4. The texts of repeated spans are compared byte by byte with the first occurrence's, and equal ones are removed, so the
@@ -15,6 +17,8 @@ Fingerprints are pre-aggregated before their shuffle, occurrences meet their fir
 execution can split, and lists are only ever gathered within one document, so a passage in a third of all documents
 makes no hot task. Whole texts travel once, by row hash.
 
+Words end at any white space; in scripts without spaces, `UNSPACED_CHARS` characters count as a word.
+
 A null text stays null and has no lines; an empty one has one empty line. Fully equal rows are one document: what
 happens to one happens to all. Columns other than doc_id and text come through unchanged.
 """
@@ -33,6 +37,9 @@ ROLL = 2
 BOUNDARY_BITS = 1
 MIN_WORDS = 16
 LONG_WORDS = 50
+#: Thai, Lao, Burmese, Khmer, kana, ideographs.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
+UNSPACED_CHARS = 2
 
 
 def let(value: Column, body) -> Column:
@@ -44,11 +51,18 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _words(line: Column) -> Column:
+    plain, mixed = (F.regexp_count(line, F.lit(p)) for p in (r"\S+", rf"[{UNSPACED}]{{1,{UNSPACED_CHARS}}}|[^\s{UNSPACED}]+"))
+    return F.when(F.length(line) == F.octet_length(line), plain).otherwise(mixed)
+
+
 def _spans(text: Column, min_words: int, long_words: int, bits: int) -> Column:
     """Chunks and windows of a text: array of (start, n, words, hash, is_chunk)."""
-    facts = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w")))
+    facts = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("w")))
 
     def of(lines: Column) -> Column:
+        last = F.size(lines) - 1
+
         def rolled(i: Column) -> Column:
             return reduce(lambda a, k: a.bitwiseXOR(F.shiftleft(F.coalesce(F.get(lines, i - k)["h"], F.lit(0).cast("long")), k)), range(1, ROLL), F.get(lines, i)["h"])
 
@@ -61,17 +75,30 @@ def _spans(text: Column, min_words: int, long_words: int, bits: int) -> Column:
             part = F.slice(lines, start + 1, n)
             return F.struct(start.alias("start"), n.alias("n"), F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]).alias("words"), F.xxhash64(part).alias("hash"), F.lit(chunk).alias("is_chunk"))
 
-        last = F.size(lines) - 1
         cuts = F.filter(F.sequence(F.lit(0), last), ends)
         chunks = let(cuts, lambda e: F.transform(e, lambda end, j: let(F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1) + 1), lambda start: span(start, end - start + 1, True))))
 
-        def is_chunk(i: Column) -> Column:
-            inner = reduce(lambda a, k: a | ends(i + k), range(1, ROLL - 1), ends(i))
-            return ((i == 0) | ends(i - 1)) & ~inner & (ends(i + (ROLL - 1)) | (i + (ROLL - 1) == last))
+        def words(i: Column) -> Column:
+            return F.coalesce(F.get(lines, i)["w"], F.lit(0))
+
+        def code(start: Column, end: Column) -> Column:
+            return F.when((start >= 0) & (end <= last), F.shiftleft(start.cast("long"), 32) + (end - start + 1))
+
+        def reach(near: Column) -> Column:
+            """Where the lines at these places, added up in their order, have min_words; null if never."""
+            none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("at"))
+            add = lambda a, i: F.when(a["words"] >= min_words, a).otherwise(F.struct((a["words"] + words(i)).alias("words"), i.alias("at")))
+            return F.aggregate(near, none, add, lambda a: F.when(a["words"] >= min_words, a["at"]))
 
-        starts = F.when(last >= ROLL - 1, F.filter(F.sequence(F.lit(0), last - (ROLL - 1)), lambda i: ~is_chunk(i)))
-        windows = F.transform(starts, lambda i: span(i, F.lit(ROLL), False))
-        return F.filter(F.concat(chunks, F.coalesce(windows, F.array())), lambda s: ((s["n"] > 1) & (s["words"] >= min_words)) | (s["words"] >= long_words))
+        pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(words(i) + words(i + 1) >= min_words, code(i, i + 1)))
+        # a line that isn't blank has a word, so min_words of them are enough
+        grown = let(F.filter(F.sequence(F.lit(0), last), lambda i: words(i) > 0), lambda full: F.concat(
+            F.transform(full, lambda i, k: F.when(words(i) + words(i + 1) < min_words, code(i, reach(F.slice(full, k + 1, min_words))))),
+            F.transform(full, lambda i, k: F.when(words(i - 1) + words(i) < min_words, code(reach(F.reverse(F.slice(full, F.greatest(k + 2 - min_words, F.lit(1)), F.least(k + 1, F.lit(min_words))))), i))),
+        ))
+        codes = F.array_except(F.filter(F.concat(pairs, grown), lambda c: c.isNotNull()), F.transform(chunks, lambda s: code(s["start"], s["start"] + s["n"] - 1)))
+        windows = F.transform(codes, lambda c: span(F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), False))
+        return F.filter(F.concat(chunks, windows), lambda s: ((s["n"] > 1) & (s["words"] >= min_words)) | (s["words"] >= long_words))
 
     return let(facts, of)
 
@@ -97,7 +124,7 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
         def covered(c: Column, line: Column) -> Column:
             return F.exists(c, lambda m: (line >= m["start"]) & (line < m["start"] + m["n"]))
 
-        return let(chunks, lambda c: F.filter(all_marks, lambda m: m["is_chunk"] | m["is_first"] | ~(covered(c, m["start"]) & covered(c, m["start"] + m["n"] - 1))))
+        return let(chunks, lambda c: F.filter(all_marks, lambda m: m["is_chunk"] | m["is_first"] | ~F.forall(F.sequence(m["start"], m["start"] + m["n"] - 1), lambda line: covered(c, line))))
 
     def text_of(lines: Column, m: Column) -> Column:
         return F.array_join(F.slice(lines, m["start"] + 1, m["n"]), "\n")

@@ -237,6 +237,25 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(extra, ("doc_id", "text", "marks")).first().asDict() == {"doc_id": 1, "text": "x", "marks": "y", "n_lines": 1, "n_removed": 0}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_removes_passages_of_short_lines(spark, seed):
+    rng = random.Random(seed)
+    rows, passages = [], {}
+    for p in range(40):
+        lines = [rng.choice(" \t").join(f"s{seed}p{p}l{i}w{j}" for j in range(rng.randint(3, 7))) for i in range(rng.randint(8, 20))]
+        lines[5:5] = [""] * (p % 2)
+        passages |= dict.fromkeys(range(4 * p, 4 * p + 4), lines)
+        rows += [(k, "\n".join([filler(9000 + 1000 * seed + 2 * k, 1 + k % 3), *lines, filler(9001 + 1000 * seed + 2 * k, 1 + k % 2)])) for k in range(4 * p, 4 * p + 4)]
+    for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect():
+        assert r.n_removed == (len(passages[r.doc_id]) if r.doc_id % 4 else 0)
+
+
+def test_line_dedup_counts_words_of_scripts_without_spaces(spark):
+    passage = "\n".join("".join(chr(0x4E00 + (37 * i + j) % 20000) for j in range(12)) for i in range(6))
+    rows = [(k, f"{filler(7000 + k, 2)}\n{passage}\n{filler(7100 + k, 1)}") for k in range(4)]
+    assert [r.n_removed for r in line_dedup.dedup_lines(docs_of(spark, rows)).orderBy("doc_id").collect()] == [0, 6, 6, 6]
+
+
 # -- decontamination --------------------------------------------------------------------------------------------------
 
 
