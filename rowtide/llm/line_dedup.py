@@ -7,7 +7,8 @@
 2. A repeated passage's first and last lines lie in chunks that reach outside it. To find these edges, windows are
    fingerprinted as well: from each line forward and from each line back, the shortest run of two lines or more that
    has `MIN_WORDS` words. So each line of text in a repeated passage of so many words lies in a window that doesn't
-   leave the passage, however short its lines are. Windows matter only where repeated chunks don't cover all their lines.
+   leave the passage, however short its lines are. Windows matter only where later
+   occurrences of chunks don't cover all their lines.
 3. Fingerprints (hash, lines, words) are counted over all documents; each that occurs twice or more has a first
    occurrence, by doc_id.
 4. The texts of repeated spans are compared byte by byte with the first occurrence's, and equal ones are removed, so the
@@ -118,8 +119,8 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     marks = cut(found.groupBy("row_key").agg(F.collect_set("s").alias("marks")).withColumnRenamed("row_key", "mark_key"))
 
     def needed(all_marks: Column) -> Column:
-        """Chunks, and windows of which a line is in no repeated chunk; a first occurrence is always needed, for the comparison."""
-        chunks = F.filter(all_marks, lambda m: m["is_chunk"])
+        """Chunks, and windows of which a line is in no later occurrence of a chunk; a first occurrence is always needed, for the comparison."""
+        chunks = F.filter(all_marks, lambda m: m["is_chunk"] & ~m["is_first"])  # a first occurrence isn't removed, so it covers nothing
 
         def covered(c: Column, line: Column) -> Column:
             return F.exists(c, lambda m: (line >= m["start"]) & (line < m["start"] + m["n"]))

@@ -250,6 +250,15 @@ def test_line_dedup_removes_passages_of_short_lines(spark, seed):
         assert r.n_removed == (len(passages[r.doc_id]) if r.doc_id % 4 else 0)
 
 
+def test_line_dedup_copies_with_other_chunks_at_their_edges(spark):
+    rows = []
+    for p in range(150):
+        lines = [" ".join(f"e{p}l{i}w{j}" for j in range(20)) for i in range(3)]
+        rows += [(k, "\n".join([filler(20000 + 2 * k, 2), *lines, filler(20001 + 2 * k, 2)])) for k in range(4 * p, 4 * p + 4)]
+    out = line_dedup.dedup_lines(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {k: 3 if k % 4 else 0 for k in range(600)}
+
+
 def test_line_dedup_counts_words_of_scripts_without_spaces(spark):
     passage = "\n".join("".join(chr(0x4E00 + (37 * i + j) % 20000) for j in range(12)) for i in range(6))
     rows = [(k, f"{filler(7000 + k, 2)}\n{passage}\n{filler(7100 + k, 1)}") for k in range(4)]
