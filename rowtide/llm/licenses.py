@@ -2,11 +2,13 @@
 
 Texts and templates are normalised to lower-case words (copyright lines of templates are left out). A document's word
 bigrams that occur in any template are its hits; a stretch without hits can't match. For each template with enough hits
-the scan takes line-aligned stretches: from each line that has a hit, line after line while the stretch's size stays within
+the scan takes stretches from each hit on, word by word to each further hit, while the stretch's size stays within
 the bounds that the Dice coefficient sets (a set of n bigrams and a template of m can reach t only if
-t / (2 - t) * m <= n <= (2 - t) / t * m), and keeps the best. So a notice of one line and a licence text that fills a page are
-found alike. Stretches of one template that overlap are one match; its best one counts. Of templates that match overlapping stretches, the one
-with the higher score stays (ties: the larger template, then the name).
+t / (2 - t) * m <= n <= (2 - t) / t * m, of which at most 2 * (1 - t) / t * m are foreign), and keeps the best. Where
+a stretch begins or ends amid the template, the words of the same line that stand for the template's rest count, too. Otherwise line
+breaks don't matter, so a notice amid a line, a text without line feeds and a licence that fills a page are found alike. Stretches of one
+template that overlap are one match; its best one counts. A match inside that of a template twice as large is part of it. Of other
+templates that match overlapping stretches, the one with the higher score stays (ties: the larger template, then the name).
 
 Work is by document in Arrow batches, without a shuffle; the templates are a fixed list. Null and empty texts have no
 matches. Every row gets a result row.
@@ -72,6 +74,13 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
     "https://mozilla.org/MPL/2.0/.",
+    "Unlicense-full": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+    "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+    "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+    "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+    "EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
     "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is "
@@ -84,6 +93,31 @@ TEMPLATES = {
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+    "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General "
+    "Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+    "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General "
+    "Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+    "version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General "
+    "Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "CC-BY-NC-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-4.0-short-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-short-notice": "Licensed under CC BY-NC-ND 4.0.",
     "All-rights-reserved": "All rights reserved.",
 }
 
@@ -93,6 +127,8 @@ class Template(NamedTuple):
     grams: frozenset[int]
     low: float  #: sizes of stretches that can reach the threshold
     high: float
+    before: dict[int, int]  #: bigrams before a bigram's first place, and after its last
+    after: dict[int, int]
 
 
 class Templates(NamedTuple):
@@ -113,7 +149,9 @@ def templates(threshold: float = THRESHOLD) -> Templates:
     made = []
     for name, ids in texts.items():
         grams = frozenset(bigrams(ids, size))
-        made.append(Template(name, grams, threshold / (2 - threshold) * len(grams), (2 - threshold) / threshold * len(grams)))
+        order = [a * size + b for a, b in zip(ids, ids[1:])]
+        before, after = ({g: i for i, g in reversed(list(enumerate(o)))} for o in (order, order[::-1]))
+        made.append(Template(name, grams, threshold / (2 - threshold) * len(grams), (2 - threshold) / threshold * len(grams), before, after))
     return Templates(words, np.array(sorted(set().union(*(t.grams for t in made)))), made)
 
 
@@ -133,46 +171,64 @@ def scan(text: bytes, threshold: float = THRESHOLD) -> list[Match]:
     if len(flat) < 2:
         return []
     ends = np.cumsum([len(line) for line in lines])
+    begins = [0, *ends[:-1].tolist()]
     codes = flat[:-1] * size + flat[1:]
     hits = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0))
     hits = hits[np.isin(codes[hits], known.known)]
     if not len(hits):
         return []
-    codes_hit = codes[hits].tolist()
-    hit_lines = np.searchsorted(ends, hits, "right").tolist()
-    plain = text.split(b"\n")
+    codes_hit, places = codes[hits].tolist(), hits.tolist()
+    distinct = set(codes_hit)
+    ids: list[int] = []  # bigrams of all words, by first occurrence
     found: list[tuple[float, int, str, int, int]] = []
     for t in known.all:
-        own = sorted({line for code, line in zip(codes_hit, hit_lines) if code in t.grams})
-        count = len({code for code in codes_hit if code in t.grams})
+        count = len(distinct & t.grams)
         if 2 * count < threshold * (count + len(t.grams)) - 1e-9:
             continue
+        if not ids:
+            words = words_of(text)
+            numbers: dict[tuple[bytes, bytes], int] = {}
+            ids = [numbers.setdefault(pair, len(numbers)) for pair in zip(words, words[1:])]
+        own = {place: code for place, code in zip(places, codes_hit) if code in t.grams}
+        mine = {ids[place] for place in own}
+        foreign = 2 * (1 - threshold) / threshold * len(t.grams) + 1e-9
         best: list[tuple[float, int, int]] = []
         for first in own:
-            words: list[bytes] = []
-            stretch: set[tuple[bytes, bytes]] = set()
-            shared: set[int] = set()
-            for last in range(first, len(lines)):
-                more = words_of(plain[last])
-                seam = words[-1:] + more
-                words += more
-                stretch.update(zip(seam, seam[1:]))
-                shared.update(c for c in (known.words.get(a, 0) * size + known.words.get(b, 0) for a, b in zip(seam, seam[1:])) if c in t.grams)
-                if len(stretch) > t.high + 1e-9:
-                    break
-                if len(stretch) >= t.low - 1e-9 and (score := 2 * len(shared) / (len(stretch) + len(t.grams))) >= threshold - 1e-9:
-                    best.append((score, first, last))
+            start = max(first - t.before[own[first]], begins[int(np.searchsorted(ends, first, "right"))])
+            stretch = set(ids[start:first]) - {ids[first]}
+            shared, top = len(stretch & mine), threshold - 1e-9
+            for at in range(first, len(ids)):
+                gram = ids[at]
+                if gram in stretch:
+                    if gram == ids[first]:
+                        break  # what starts at a later hit is shorter and no worse
+                    continue
+                stretch.add(gram)
+                if gram not in mine:
+                    if len(stretch) - shared > foreign:
+                        break
+                    continue
+                shared += 1
+                if 2 * shared / (len(stretch) + len(t.grams)) < top:
+                    continue
+                end = min(at + t.after[own[at]], int(ends[np.searchsorted(ends, at + 1, "right")]) - 2)
+                rest = set(ids[at + 1 : end + 1]) - stretch
+                if (score := 2 * (shared + len(rest & mine)) / (len(stretch) + len(rest) + len(t.grams))) >= top:
+                    best.append((score, start, end + 1))
+                    top = score + 1e-12
         best.sort(key=lambda b: (-b[0], b[2] - b[1], b[1]))
         taken: list[tuple[int, int]] = []
         for score, first, last in best:
             if all(last < a or first > b for a, b in taken):
                 taken.append((first, last))
                 found.append((score, len(t.grams), t.name, first, last))
-    out: list[Match] = []
-    for score, _, name, first, last in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-        if all(last < m.first_line or first > m.last_line for m in out):
-            out.append(Match(name, score, first, last))
-    return sorted(out, key=lambda m: (m.first_line, m.license))
+    whole = [f for f in found if not any(g[1] >= 2 * f[1] and g[3] <= f[3] and f[4] <= g[4] for g in found)]
+    chosen: list[tuple[float, int, str, int, int]] = []
+    for f in sorted(whole, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+        if all(f[4] < c[3] or f[3] > c[4] for c in chosen):
+            chosen.append(f)
+    line_of = lambda word: int(np.searchsorted(ends, word, "right"))
+    return [Match(name, score, line_of(first), line_of(last)) for score, _, name, first, last in sorted(chosen, key=lambda c: c[3])]
 
 
 def _scan(threshold: float):

@@ -260,6 +260,25 @@ def test_license_scan():
     assert licenses.scan(b"") == [] and licenses.scan(b"the license of this text is unknown") == []
 
 
+def test_license_scan_amid_lines():
+    names = lambda text: [m.license for m in licenses.scan(text.encode())]
+    assert names("Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0-notice"]
+    for name, text in licenses.TEMPLATES.items():
+        foreign = " ".join(f"u{i}" for i in range(2 * len(text.split())))
+        assert names(f"{foreign} {text} {foreign} {text} {foreign}") == [name, name]
+    zlib, isc = licenses.TEMPLATES["Zlib"], licenses.TEMPLATES["ISC"]
+    assert names(f"{zlib} {isc}") == ["Zlib", "ISC"]
+    assert names("all rights reserved " * 3000)[0] == "All-rights-reserved"
+
+
+def test_license_scan_tells_variants_apart():
+    gpl, notice = licenses.TEMPLATES["GPL-3.0-header"], licenses.TEMPLATES["GPL-3.0-notice"]
+    for name, word in (("AGPL-3.0", "Affero"), ("LGPL-3.0", "Lesser")):
+        for text, kind in ((gpl, "header"), (notice, "notice")):
+            assert [m.license for m in licenses.scan(text.replace("GNU General", f"GNU {word} General").encode())] == [f"{name}-{kind}"]
+    assert [m.license for m in licenses.scan(notice.replace("version 3", "version 2").encode())] == ["GPL-2.0-notice"]
+
+
 def brute_dice(text, template):
     grams = lambda t: set(zip(t, t[1:]))
     a, b = (grams(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", x.lower())) for x in (text, template))
