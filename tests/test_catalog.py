@@ -36,3 +36,10 @@ def test_query(spark, sf, con, name):
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+
+
+def test_structure_fingerprints_reads_integral_values(spark, tmp_path):
+    rows = [(1, 1.5), (2, 2.5), (20, 3.0), (30, 4.0)]  # plain, plain, a text as user, a key too many
+    made = spark.createDataFrame(rows, "event_id long, value double").selectExpr("event_id", "timestamp'2024-01-01' AS ts", "1L AS user_id", "'view' AS event_type", "value", "'{}' AS props")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.QUERIES["structure_fingerprints"](spark, str(tmp_path)).first().structures == 3
