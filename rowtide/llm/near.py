@@ -7,8 +7,10 @@
 3. The shuffle on band hashes links each class to the least class of each of its buckets: a bucket of n gives n - 1
    edges, never n * n. Components of these edges hold all candidate pairs, and each n-gram set travels once, to its
    component.
-4. Components are verified on the full sets: small ones many to a task, one of over `BLOCK` classes as pairs of
-   blocks. A task gives a row per class: how many rows it is linked to, and the least class it is joined with.
+4. Components are verified on the full sets: small ones many to a task; one of over `BLOCK` classes or `BLOCK_GRAMS`
+   n-grams as pairs of blocks, of which only those meet that share a bucket (or a group within a block). A pair gives one row per block
+   with all its link counts as an array, and an edge for each two groups of the blocks that are joined: a group of m classes makes about
+   m + (m / BLOCK)^2 edges.
 5. Components of the verified links are the result's groups.
 
 Nulls and texts without words have no n-grams: they are linked to nothing and are groups of their own. Repeated rows
@@ -34,10 +36,11 @@ WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 ROWS = 5
-#: Classes in one block of a large component.
+#: Classes and n-grams in one block of a large component, about.
 BLOCK = 256
+BLOCK_GRAMS = 1_000_000
 #: n-grams that one task of small components takes, about.
-TASK_GRAMS = 1_000_000
+TASK_GRAMS = 200_000
 #: Cells of a block's dense incidence matrix, at most; beyond, pairs are intersected one by one.
 DENSE_CELLS = 12_000_000
 
@@ -132,35 +135,59 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return out
 
 
+_LINKS = "root binary, block int, keys array<binary>, links array<long>, edges array<struct<a:binary,b:binary>>"
+_ARROW = pa.schema([("root", pa.binary()), ("block", pa.int32()), ("keys", pa.list_(pa.binary())), ("links", pa.list_(pa.int64())), ("edges", pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))])
+
+
+def groups_of(match: np.ndarray) -> np.ndarray:
+    """The least member of each row's connected component in a symmetric boolean matrix."""
+    n = len(match)
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label, np.where(match, label[None, :], n).min(axis=1, initial=n))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _pair(left: int, right: int, blocks: np.ndarray, keys: list[bytes], n_rows: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, list[bytes], list[int], list[tuple[bytes, bytes]]]]:
+    """Per block: its classes, the rows linked to each (of a pair, across the blocks only), and edges that join groups."""
+    match = linked(sets, threshold)
+    if not match.any():
+        return
+    if left == right:
+        label = groups_of(match)
+        yield left, keys, (match @ n_rows).tolist(), [(keys[i], keys[j]) for i, j in enumerate(label.tolist()) if i != j]
+        return
+    same = blocks[:, None] == blocks[None, :]
+    across, label = match & ~same, groups_of(match & same)
+    if not across.any():
+        return
+    i, j = np.nonzero(across)
+    joins = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])]), axis=1).T
+    links = across @ n_rows
+    for block in (left, right):
+        own = np.flatnonzero(blocks == block).tolist()
+        yield block, [keys[k] for k in own], links[own].tolist(), [(keys[a], keys[b]) for a, b in joins.tolist()] if block == left else []
+
+
 def _verify(threshold: float) -> Callable[[pa.Table], pa.Table]:
-    """Per class of each component of a task: rows linked to it, and the least class that it is joined with here."""
+    """Verifies each component, or pair of blocks, of a task."""
 
     def run(table: pa.Table) -> pa.Table:
-        groups: dict[tuple[bytes, int, int], list[dict]] = {}
-        for row in table.to_pylist():
-            groups.setdefault((row["root"], row["left"], row["right"]), []).append(row)
-        out: list[tuple[bytes, int, bytes]] = []
-        for (_, left, right), rows in groups.items():
-            rows.sort(key=lambda r: r["class_key"])
-            keys = [r["class_key"] for r in rows]
-            match = linked([np.frombuffer(r["grams"], np.uint64) for r in rows], threshold)
-            if left != right:  # two blocks: pairs within one count where it meets itself
-                side = np.array([r["block"] == left for r in rows])
-                match &= side[:, None] != side[None, :]
-            links = match @ np.array([r["n_rows"] for r in rows], np.int64)
-            root = list(range(len(rows)))
-
-            def find(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i, j in zip(*np.nonzero(np.triu(match))):
-                a, b = find(int(i)), find(int(j))
-                root[max(a, b)] = min(a, b)
-            out += [(keys[i], int(links[i]), keys[find(i)]) for i in range(len(rows)) if links[i]]
-        return pa.table([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["class_key", "links", "joined"])
+        table = table.sort_by([(c, "ascending") for c in ("root", "left", "right", "class_key")]).combine_chunks()
+        roots, keys = table["root"].to_pylist(), table["class_key"].to_pylist()
+        left, right, blocks, n_rows = (table[c].to_numpy() for c in ("left", "right", "block", "n_rows"))
+        grams = table["grams"]
+        firsts = [i for i in range(len(roots)) if not i or (roots[i], left[i], right[i]) != (roots[i - 1], left[i - 1], right[i - 1])]
+        out: list[tuple] = []
+        for a, b in zip(firsts, [*firsts[1:], len(roots)]):
+            sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in range(a, b)]
+            out += [(roots[a], *x) for x in _pair(int(left[a]), int(right[a]), blocks[a:b], keys[a:b], n_rows[a:b].astype(np.int64), sets, threshold)]
+        columns = list(zip(*out)) or [[]] * 5
+        edges = [[{"a": x, "b": y} for x, y in e] for e in columns[4]]
+        return pa.table([pa.array(c, f.type) for c, f in zip([*columns[:4], edges], _ARROW)], schema=_ARROW)
 
     return run
 
@@ -184,22 +211,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     roots = components(held.join(stars, ["band", "bucket"]).where("class_key <> first").select(F.col("class_key").alias("a"), F.col("first").alias("b")))
 
     # candidates by component, or by pair of blocks of a large one
-    sized = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = roots.join(sized, "root").select(F.col("node").alias("class_key"), "root", F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("n_blocks")).cast("int"))
-    members = placed.join(classes.select("class_key", "least.row_key", "n_rows", "n_grams"), "class_key")
-    tasks = max(1, -(-members.agg(F.coalesce(F.sum("n_grams"), F.lit(0))).first()[0] // TASK_GRAMS))
-    spread = members.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select(
-        "class_key", "root", "n_rows", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-        F.when(F.col("n_blocks") > 1, F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))).alias("task"),
-    )
-    texts = plain.select("row_key", "text").join(members.select("row_key", "class_key"), "row_key").groupBy("class_key").agg(F.min("text").alias("text"))
+    held_by = roots.select(F.col("node").alias("class_key"), "root").join(classes.select("class_key", "least", "n_rows", "n_grams", "buckets"), "class_key")
+    sized = held_by.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
+    placed = cut(held_by.join(sized, "root").withColumn("n_blocks", F.least("n_blocks", F.lit(1 << 20))).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("n_blocks")).cast("int")))
+    gathered, large = placed.agg(F.coalesce(F.sum("n_grams"), F.lit(0)), F.coalesce(F.max("n_blocks"), F.lit(0))).first()
+    tasks = max(1, -(-gathered // TASK_GRAMS))
+    facts = ("class_key", "root", "n_rows", "block")
+    spread = placed.where("n_blocks = 1").select(*facts, F.lit(0).alias("left"), F.lit(0).alias("right"), F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"))
+    if large > 1:
+        in_blocks = placed.where("n_blocks > 1")
+        meet = in_blocks.select("root", "block", F.posexplode("buckets").alias("band", "bucket")).groupBy("root", "band", "bucket").agg(F.sort_array(F.collect_set("block")).alias("b")).where("size(b) > 1")
+        meet = meet.select("root", "b", F.posexplode("b").alias("at", "left")).select("root", "left", F.explode(F.slice("b", F.col("at") + 1, F.size("b"))).alias("right"))
+        own = in_blocks.select("root", F.col("block").alias("left"), F.col("block").alias("right"))
+        pairs = cut(meet.union(own).distinct())
+        sides = pairs.select("root", F.col("left").alias("block"), "left", "right").union(pairs.where("left <> right").select("root", F.col("right").alias("block"), "left", "right"))
+        spread = spread.union(in_blocks.join(sides, ["root", "block"]).select(*facts, "left", "right", F.xxhash64("root", "left", "right").alias("task")))
+    wanted = placed.select(F.col("least.doc_id").alias("of_id"), F.col("least.row_key").alias("of_row"), "class_key")
+    is_least = (F.col("row_key") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    texts = plain.join(wanted, is_least).groupBy("class_key").agg(F.min("text").alias("text"))
     grams = texts.mapInArrow(_sets(width), "class_key binary, grams binary")
-    links = cut(spread.join(grams, "class_key").groupBy("task").applyInArrow(_verify(threshold), "class_key binary, links long, joined binary"))
+    links = cut(spread.join(grams, "class_key").groupBy("task").applyInArrow(_verify(threshold), _LINKS))
 
-    # groups: components of the verified links
-    groups = components(links.select(F.col("class_key").alias("a"), F.col("joined").alias("b"))).withColumnRenamed("node", "class_key")
-    counted = links.groupBy("class_key").agg(F.sum("links").alias("links"))
+    # groups: components of the verified links; the counts of a block's pairs are added up as arrays
+    groups = components(links.select(F.explode("edges").alias("e")).select("e.a", "e.b")).withColumnRenamed("node", "class_key")
+    add = F.aggregate("counts", F.transform(F.get("counts", F.lit(0)), lambda x: F.lit(0).cast("long")), lambda a, c: F.zip_with(a, c, lambda x, y: x + y))
+    summed = links.groupBy("root", "block").agg(F.first("keys").alias("keys"), F.collect_list("links").alias("counts")).select(F.explode(F.arrays_zip("keys", add.alias("links"))).alias("x"))
+    counted = summed.select(F.col("x.keys").alias("class_key"), F.col("x.links").alias("links"))
     grouped = classes.select("class_key", "n_rows", "least").join(counted, "class_key", "left").join(groups, "class_key", "left").withColumn("root", F.coalesce("root", "class_key"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("kept"))
     known = grouped.join(kept, "root").select("class_key", "n_rows", "links", "kept")
@@ -209,5 +246,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("n_rows", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("n_rows", F.lit(1)).alias("n_copies"),
-        (F.col("class_key").isNull() | (F.col("row_key") == F.col("kept.row_key"))).alias("is_kept"),
+        (F.col("class_key").isNull() | (F.col("row_key") == F.col("kept.row_key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))).alias("is_kept"),
     )

@@ -187,6 +187,39 @@ def test_near_duplicates_edges(spark):
     assert near.near_duplicates(extra).first().class_id == 1
 
 
+def test_near_duplicates_edges_grow_with_classes_only(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 32)
+    counted, plain = [], near.components
+    monkeypatch.setattr(near, "components", lambda edges: counted.append(edges.count()) or plain(edges))
+    found = []
+    for n in (100, 200):
+        rng = random.Random(n)
+        base = [f"x{i}" for i in range(300)]
+        rows = [(i, " ".join([*base[:k], f"own{i}", *base[k:]])) for i, k in enumerate(rng.randrange(300) for _ in range(n))]
+        out = near.near_duplicates(docs_of(spark, rows)).collect()
+        assert {(r.class_id, r.n_links) for r in out} == {(0, n - 1)}
+        found.append(counted[-2:])
+    for small, large in zip(*found):  # 2 x the classes, 4 x their pairs
+        assert large <= 2.6 * small
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(70)] + [(400, 400)]
+    root = {n: n for e in edges for n in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root if n != 400 and any(n in e and e[0] != e[1] for e in edges)}
+
+
 # -- line dedup -------------------------------------------------------------------------------------------------------
 
 
