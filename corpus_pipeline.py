@@ -39,10 +39,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group; of fully equal rows, one."""
     rows = pick(docs, *COLUMNS)
-    kept = near.near_duplicates(docs).where("is_kept").groupBy("row_key").count().select("row_key", F.col("count").alias("equal"))
+    kept = near.near_duplicates(docs).where("is_kept").groupBy("row_key", "doc_id").count().select("row_key", F.col("doc_id").alias("kept_id"), F.col("count").alias("equal"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = rows.join(kept, key == F.col("row_key"))
-    again = joined.where("equal > 1").select(*COLUMNS).groupBy("doc_id", "text").agg(*(F.min(c).alias(c) for c in COLUMNS[2:]))
+    joined = rows.join(kept, (key == F.col("row_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")))
+    again = joined.where("equal > 1").groupBy("kept_id", "row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     return joined.where("equal = 1").select(*COLUMNS).unionByName(again)
 
 
@@ -69,11 +69,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; what each stage returns is written to the shared folder."""
+    """All stages over sf_dir's documents; what each stage returns is written to the shared folder, until the next has read it."""
     docs = read(spark, sf_dir, "documents")
     folder = posixpath.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
         path = posixpath.join(folder, str(k))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, posixpath.join(folder, str(k - 1)))
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
