@@ -8,15 +8,18 @@ for each n-gram that was seen, and a failure arc of weight log10(D T(h) / c(h))
 start mark at a text's head; a text ends with an end token.
 
 The automaton has as many arcs as the corpus has n-grams, so no task holds all of it. Texts are dealt into chunks of
-about `CHUNK_BYTES` by a hash. A chunk asks for the arcs that its texts can use: its distinct n-grams, as sorted
-64-bit keys, packed into one binary value per shard of the key space, with the chunk's training counts. A shard sums
-these counts, which makes it a part of the model, and answers each chunk. The chunk's texts then meet the answers
-and are traversed. A frequent n-gram costs a shard one key per chunk, so no key is hot, and nothing is broadcast.
-Orders are handled from the highest down, as a shard of n-grams also counts the followers T(h) of each history and
-sends these sums to the shards of the next lower order.
-
-Keys: a word's key is its 64-bit hash. An n-gram's key is a reversible mix of 32 bits of its history's key and 32 of
-its last word's, so a shard can tell the history from the key.
+about `CHUNK_BYTES` by a hash.
+1. A chunk asks for the arcs that its texts can use: its distinct n-grams, as sorted 64-bit keys, packed into one binary
+   value per shard of the key space that has any, with the chunk's training counts.
+2. A shard sums these counts, which makes it a part of the model, and answers each chunk. Of each n-gram that was seen it
+   tells one chunk that it owns it.
+3. A chunk counts, for each history, the n-grams that it owns, and tells the history's shard, which adds these up to
+   T(h) and answers each chunk that has the history.
+4. The chunk builds its part of the automaton from the answers, and its texts are traversed.
+A frequent n-gram costs a shard one key per chunk, so no key is hot. Messages are never empty, so there are no more of
+them than n-grams. What is collected is four totals for each order.
+
+Keys: a word's key is its 64-bit hash; an n-gram's is a 64-bit hash of its history's key and its last word's.
 
 Nulls and empty texts are the end token alone. Repeated rows count and are scored each. With no training rows all
 scores are those of unseen tokens. Extra columns are ignored.
@@ -32,19 +35,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENS, encode_words, pick, text_bytes
+from .common import TOKENS, cut, encode_words, pick, text_bytes
 
 CHUNK_BYTES = 10 << 20
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ROWS = "cell int, kind int, chunk int, shard int, keys binary, counts binary, totals array<long>"
-_ARROW = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
+_ASKED = pa.schema([("shard", pa.int32()), ("k", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOLD = pa.schema([("chunk", pa.int32()), ("k", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("owned", pa.binary()), ("followers", pa.binary()), ("totals", pa.list_(pa.int64()))])
+_ASKED_ROWS = "shard int, k int, chunk int, keys binary, counts binary"
+_TOLD_ROWS = "chunk int, k int, shard int, counts binary, owned binary, followers binary, totals array<long>"
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=2))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=3))
 _32 = np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_I1, _I2 = pow(_M1, -1, 1 << 64), pow(_M2, -1, 1 << 64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,13 +58,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix."""
-    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(_I2)
-    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(_I1)
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-
-
 def pack_counts(counts: np.ndarray) -> bytes:
     """Counts as one byte each; 255 stands for a larger one, which follows at the end."""
     large = counts[counts >= 255]
@@ -117,11 +114,19 @@ class Grams:
         self.at: list[np.ndarray] = [stream]
         for k in range(2, order + 1):
             key = np.zeros(len(stream), np.uint64)
-            key[1:] = mix((self.at[-1][:-1] & ~_LOW) | (stream[1:] & _LOW))
+            key[1:] = mix(self.at[-1][:-1] * _STEP + stream[1:])
             self.at.append(key)
         #: places that hold an n-gram of the order
         self.has = [self.depth >= k for k in range(order)]
 
+    def number(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of order k: the distinct keys, sorted; a place of each; and for each place the number of its key, or -1."""
+        places = np.flatnonzero(self.has[k - 1])
+        keys, first, inverse = np.unique(self.at[k - 1][places], return_index=True, return_inverse=True)
+        number = np.full(len(self.depth), -1, np.int64)
+        number[places] = inverse
+        return keys, places[first], number
+
 
 def _requests(order: int, shards: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
@@ -130,131 +135,202 @@ def _requests(order: int, shards: int) -> Callable[[pa.Table], pa.Table]:
         train = table["train"].to_numpy(zero_copy_only=False).astype(bool)[grams.doc]
         rows: list[dict] = []
         for k in range(1, order + 1):
-            has = grams.has[k - 1]
-            keys, inverse = np.unique(grams.at[k - 1][has], return_inverse=True)
-            counts = np.bincount(inverse, train[has], len(keys)).astype(np.int64)
-            edges = shard_edges(keys, shards)
-            for s in range(shards):
-                a, b = edges[s : s + 2]
-                # even if empty, so that each chunk hears of each shard's totals
-                rows.append({"cell": s, "kind": k, "chunk": chunk, "shard": s, "keys": pack_keys(keys[a:b]), "counts": pack_counts(counts[a:b]), "totals": []})
-        return pa.Table.from_pylist(rows, _ARROW)
+            keys, _, number = grams.number(k)
+            counts = np.bincount(number[train & (number >= 0)], minlength=len(keys))
+            rows += _by_shard(keys, counts, shards, k, chunk)
+        return pa.Table.from_pylist(rows, _ASKED)
 
     return run
 
 
-def _answers(kind: int, shards: int) -> Callable[[pa.Table], pa.Table]:
-    """A shard's part of the model for one order: sums the counts, answers the chunks, tells the followers of each history.
+def _by_shard(keys: np.ndarray, counts: np.ndarray, shards: int, k: int, chunk: int) -> list[dict]:
+    """A message for each shard that has some of the keys, which are sorted."""
+    edges = shard_edges(keys, shards).tolist()
+    return [{"shard": s, "k": k, "chunk": chunk, "keys": pack_keys(keys[a:b]), "counts": pack_counts(counts[a:b])} for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
 
-    Rows for other orders pass. Rows of chunk -1 carry followers: 32 bits of each history's key, and how many words follow.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        mine = [r for r in rows if r["kind"] == kind and r["chunk"] >= 0]
-        told = [r for r in rows if r["kind"] == kind and r["chunk"] < 0]
-        out = [r for r in rows if r["kind"] != kind]
-        asked = [unpack_keys(r["keys"]) for r in mine]
-        keys = np.concatenate([*asked, np.zeros(0, np.uint64)])
-        sizes = list(map(len, asked))
-        given = np.concatenate([unpack_counts(r["counts"], n) for r, n in zip(mine, sizes)]) if mine else np.zeros(0, np.int64)
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, given, len(uniq)).astype(np.int64)
-        types = np.zeros(len(uniq), np.int64)
-        if told:
-            heads = np.frombuffer(b"".join(r["keys"] for r in told), np.uint32)
-            numbers = np.concatenate([unpack_counts(r["counts"], len(r["keys"]) // 4) for r in told])
-            heads, where = np.unique(heads, return_inverse=True)
-            sums = np.bincount(where, numbers, len(heads)).astype(np.int64)
-            own = (uniq >> _32).astype(np.uint32)
-            place = np.minimum(np.searchsorted(heads, own), len(heads) - 1)
-            types = np.where(heads[place] == own, sums[place], 0)
-        real = uniq != START if kind == 1 else np.ones(len(uniq), bool)
-        totals = [int(counts[real].sum()), int((counts[real] > 0).sum()), int((counts[real] == 1).sum()), int((counts[real] == 2).sum())]
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of messages of one order: the distinct keys, the sum of each one's counts, which key each message's entries have, and the messages' sizes."""
+    asked = [unpack_keys(r["keys"]) for r in rows]
+    sizes = list(map(len, asked))
+    given = np.concatenate([unpack_counts(r["counts"], n) for r, n in zip(rows, sizes)])
+    keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    return keys, np.bincount(inverse, given, len(keys)).astype(np.int64), inverse, sizes
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """A shard's part of the model: sums the counts, answers the chunks, and gives n-grams that were seen to the first chunk that has them.
+
+    A row of chunk -1 has the totals of an order: tokens, distinct n-grams, those seen once, and twice.
+    """
+    out: list[dict] = []
+    rows = sorted(table.to_pylist(), key=lambda r: (r["k"], r["chunk"]))
+    for k in sorted({r["k"] for r in rows}):
+        mine = [r for r in rows if r["k"] == k]
+        keys, counts, inverse, sizes = _summed(mine)
+        owned = np.zeros(len(inverse), bool)
+        if k > 1:
+            owned[np.unique(inverse, return_index=True)[1]] = True
+            owned &= counts[inverse] > 0
+        real = counts[keys != START] if k == 1 else counts
+        totals = [int(real.sum()), *(int(x.sum()) for x in (real > 0, real == 1, real == 2))]
+        out.append({"chunk": -1, "k": k, "shard": mine[0]["shard"], "totals": totals})
         start = 0
         for r, n in zip(mine, sizes):
-            part = inverse[start : start + n]
+            part = slice(start, start + n)
             start += n
-            out.append(r | {"cell": r["chunk"] % shards, "kind": -kind, "keys": pack_counts(types[part]), "counts": pack_counts(counts[part]), "totals": totals})
-        if kind > 1:
-            heads, numbers = np.unique((unmix(uniq[counts > 0]) >> _32), return_counts=True)
-            edges = shard_edges(heads << _32, shards)
-            for s in range(shards):
-                a, b = edges[s : s + 2]
-                if b > a:
-                    out.append({"cell": s, "kind": kind - 1, "chunk": -1, "shard": s, "keys": heads[a:b].astype(np.uint32).tobytes(), "counts": pack_counts(numbers[a:b]), "totals": []})
-        return pa.Table.from_pylist(out, _ARROW)
+            out.append({"chunk": r["chunk"], "k": k, "shard": r["shard"], "counts": pack_counts(counts[inverse[part]]), "owned": np.packbits(owned[part]).tobytes() if k > 1 else b""})
+    return pa.Table.from_pylist(out, _TOLD)
+
+
+def _gathered(rows: list[dict], field: str, keys: list[np.ndarray], shards: int, unpack: Callable[[bytes, int], np.ndarray]) -> list[np.ndarray]:
+    """The answers' values by order, for a chunk's keys; 0 for what wasn't answered."""
+    out = []
+    for k, own in enumerate(keys, 1):
+        edges, values = shard_edges(own, shards), np.zeros(len(own), np.int64)
+        for r in rows:
+            if r["k"] == k and r[field]:
+                a, b = edges[r["shard"] : r["shard"] + 2]
+                values[a:b] = unpack(r[field], int(b - a))
+        out.append(values)
+    return out
+
+
+def _unpack_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(np.int64)
+
+
+def _followers(order: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Per history that was seen: how many n-grams that the chunk owns go on from it."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        rows: list[dict] = []
+        if texts.num_rows:
+            grams, told = Grams(texts["text"].combine_chunks(), order), answers.to_pylist()
+            numbered = [grams.number(k) for k in range(1, order + 1)]
+            keys = [x[0] for x in numbered]
+            counts, owned = _gathered(told, "counts", keys, shards, unpack_counts), _gathered(told, "owned", keys, shards, _unpack_bits)
+            for k in range(1, order):
+                _, places, _ = numbered[k]
+                history = numbered[k - 1][2][places - 1]
+                follow = np.bincount(history[owned[k] > 0], minlength=len(keys[k - 1]))
+                seen = counts[k - 1] > 0
+                rows += _by_shard(keys[k - 1][seen], follow[seen], shards, k, texts["chunk"][0].as_py())
+        return pa.Table.from_pylist(rows, _ASKED)
 
     return run
 
 
+def _spread(table: pa.Table) -> pa.Table:
+    """A shard adds up the followers of each history and answers the chunks."""
+    out: list[dict] = []
+    rows = table.to_pylist()
+    for k in sorted({r["k"] for r in rows}):
+        mine = [r for r in rows if r["k"] == k]
+        _, sums, inverse, sizes = _summed(mine)
+        start = 0
+        for r, n in zip(mine, sizes):
+            out.append({"chunk": r["chunk"], "k": k, "shard": r["shard"], "followers": pack_counts(sums[inverse[start : start + n]])})
+            start += n
+    return pa.Table.from_pylist(out, _TOLD)
+
+
 class Automaton:
-    """The part of the automaton that a chunk's texts can reach. By order, for each place: the count of the n-gram that
-    ends there, and how many words follow it."""
+    """The part of the automaton that a chunk's texts can reach.
 
-    def __init__(self, grams: Grams, answers: list[dict], order: int) -> None:
-        self.grams, self.counts, self.types, totals = grams, [], [], []
-        for k in range(1, order + 1):
-            own = sorted((r for r in answers if r["kind"] == -k), key=lambda r: r["shard"])
-            has = grams.has[k - 1]
-            keys, inverse = np.unique(grams.at[k - 1][has], return_inverse=True)
-            sizes = np.diff(shard_edges(keys, own[0]["n_shards"])) if own else []
-            sizes = [int(sizes[r["shard"]]) for r in own]
-            for held, field in ((self.counts, "counts"), (self.types, "keys")):
-                known = np.concatenate([unpack_counts(r[field], n) for r, n in zip(own, sizes)] or [np.zeros(len(keys), np.int64)])
-                at = np.zeros(len(has), np.int64)
-                at[has] = known[inverse]
-                held.append(at)
-            totals.append(np.array([r["totals"] for r in own], np.int64).reshape(-1, 4).sum(axis=0))
-        self.n, self.v = int(totals[0][0]), int(totals[0][1])
-        self.seen = totals
+    n-grams are numbered through all orders; 0 is the empty one. `arc` is the log10 weight of the arc into an n-gram
+    from its history, for those that were seen and for all words; `target` is the state where it ends; `fail` and `back` are a
+    state's failure arc and its weight. A state is an n-gram that was seen as a history; its number is the n-gram's.
+    """
+
+    def __init__(self, grams: Grams, answers: list[dict], totals: list[list[int]], shards: int) -> None:
+        order = len(totals)
+        numbered = [grams.number(k) for k in range(1, order + 1)]
+        keys = [x[0] for x in numbered]
+        counts = _gathered(answers, "counts", keys, shards, unpack_counts)
+        # a chunk asked for the followers of the histories that were seen only
+        follow = []
+        for own, c in zip(keys[:-1], counts):
+            values = np.zeros(len(own), np.int64)
+            values[c > 0] = _gathered([r for r in answers if r["k"] == len(follow) + 1], "followers", [own[:0]] * len(follow) + [own[c > 0]], shards, unpack_counts)[-1]
+            follow.append(values)
+        self.grams, (self.n, self.v, *_) = grams, totals[0]
+        self.known = np.append(counts[0], 0)[numbered[0][2]] > 0
+        base = np.cumsum([1, *map(len, keys)])
+        size = int(base[-1])
+        self.at = [np.where(x[2] >= 0, x[2] + base[k], -1) for k, x in enumerate(numbered)]
+        self.order, self.seen = np.zeros(size, np.int8), np.zeros(size, bool)
+        self.arc, self.back = np.zeros(size), np.zeros(size)
+        self.fail, self.target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for k, (_, places, _) in enumerate(numbered):
+            own = np.arange(base[k], base[k + 1])
+            self.order[own] = k + 1
+            suffix = self.at[k - 1][places] if k else np.zeros(len(own), np.int64)
+            if not k:
+                self.arc[own] = np.log10((counts[0] + 0.5) / (self.n + 0.5 * (self.v + 1)))
+                self.seen[own] = True  # the empty history has an arc for any word
+            else:
+                history, seen = self.at[k - 1][places - 1], counts[k] > 0
+                self.seen[own] = seen
+                h, g, c = history[seen], own[seen], counts[k][seen]
+                self.arc[g] = np.log10((c - discount(totals[k])) / counts[k - 1][h - base[k - 1]] + 10.0 ** (self.back[h] + self.arc[suffix[seen]]))
+            # a state fails to its suffix, and what isn't a state stands for the state of its suffix
+            state = (counts[k] > 0) & (follow[k] > 0) if k < order - 1 else np.zeros(len(own), bool)
+            self.fail[own] = self.target[suffix]
+            self.target[own] = np.where(state, own, self.target[suffix])
+            if state.any():
+                self.back[own[state]] = np.log10(discount(totals[k + 1]) * follow[k][state] / counts[k][state])
 
     def base(self) -> np.ndarray:
-        return np.log10((self.counts[0] + 0.5) / (self.n + 0.5 * (self.v + 1)))
+        return self.arc[self.at[0]]
 
-    def traverse(self, discounts: list[float]) -> np.ndarray:
-        """log10 probability of the token at each place, given its history; all texts go from left to right in step.
+    def traverse(self) -> np.ndarray:
+        """log10 weight of the path at each place: one traversal from left to right that carries the state.
 
-        The state after a token is the longest history that was seen. From it, an arc is taken if there is one; else the
-        failure arc's weight is added and the next shorter history tried. Which state is reached depends on the last
-        `order - 1` tokens only, so all places are advanced at once.
+        The stream is cut into lanes that advance together. As a state depends on no more than the last `order - 1` tokens, a lane
+        that begins as many tokens earlier at the empty state is in the right one where it has to be.
         """
-        arc = self.base()
-        for k in range(2, len(self.counts) + 1):
-            history = np.zeros(len(arc), np.int64)
-            history[1:] = self.counts[k - 2][:-1]
-            follow = np.zeros(len(arc), np.int64)
-            follow[1:] = self.types[k - 2][:-1]
-            state = self.grams.has[k - 1] & (history > 0) & (follow > 0)
-            d, h = discounts[k - 1], history[state]
-            back = np.log10(d * follow[state] / h) + arc[state]
-            seen = np.maximum(self.counts[k - 1][state] - d, 0) / h
-            arc[state] = np.where(seen > 0, np.log10(seen + 10.0**back), back)
-        return arc
-
-
-def discount(totals: np.ndarray) -> float:
+        n, early = len(self.grams.depth), len(self.at) - 1
+        total = np.zeros(n)
+        if not n:
+            return total
+        step = max(1, int(n**0.5))
+        heads = np.arange(0, n, step)
+        at = np.array(self.at)
+        state = np.zeros(len(heads), np.int64)
+        for t in range(-early, step):
+            lanes = np.flatnonzero((heads + t >= 0) & (heads + t < n))
+            places = heads[lanes] + t
+            here, weight = state[lanes], np.zeros(len(lanes))
+            arc = at[self.order[here], places]
+            while (lost := np.flatnonzero((arc < 0) | ~self.seen[arc])).size:
+                weight[lost] += self.back[here[lost]]
+                here[lost] = self.fail[here[lost]]
+                arc[lost] = at[self.order[here[lost]], places[lost]]
+            if t >= 0:
+                total[places] = weight + self.arc[arc]
+            state[lanes] = self.target[arc]
+        return total
+
+
+def discount(totals: list[int]) -> float:
     """n1 / (n1 + 2 n2), kept off 0 and 1."""
-    n1, n2 = int(totals[2]), int(totals[3])
+    n1, n2 = totals[2:]
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
-def _scores(order: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scores(totals: list[list[int]], shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table([pa.array([], pa.int64() if i in (0, 2, 3, 4) else pa.bool_() if i == 1 else pa.float64()) for i in range(7)], names)
-        grams = Grams(texts["text"].combine_chunks(), order)
-        auto = Automaton(grams, [r | {"n_shards": shards} for r in answers.to_pylist()], order)
+        grams = Grams(texts["text"].combine_chunks(), len(totals))
+        auto = Automaton(grams, answers.to_pylist(), totals, shards)
         marks = grams.depth == 0
-        known = (auto.counts[0] > 0) & ~marks
-        score = np.where(marks, 0, auto.traverse([discount(t) for t in auto.seen]))
-        base = np.where(marks, 0, auto.base())
-        total = lambda x: np.add.reduceat(x, grams.firsts)
+        total = lambda x: np.add.reduceat(np.where(marks, 0, x), grams.firsts)
         held = ~texts["train"].to_numpy(zero_copy_only=False).astype(bool)
-        n = texts.num_rows
-        columns = [texts["doc_id"].combine_chunks(), pa.array(held), pa.array(grams.ends - grams.firsts), pa.array(total(known.astype(np.int64))), pa.array(np.full(n, auto.n)), pa.array(total(base)), pa.array(total(score))]
+        columns = [texts["doc_id"].combine_chunks(), pa.array(held), pa.array(grams.ends - grams.firsts), pa.array(total(auto.known.astype(np.int64))), pa.array(np.full(texts.num_rows, auto.n)), pa.array(total(auto.base())), pa.array(total(auto.traverse()))]
         return pa.table(columns, names)
 
     return run
@@ -270,7 +346,11 @@ def score(docs: DataFrame, train: Column, order: int = 2, chunk_bytes: int = CHU
     chunks = max(1, -(-(size + 16 * n) // chunk_bytes))
     shards = max(1, -(-chunks // 2))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), "text")
-    flow = dealt.groupBy("chunk").applyInArrow(_requests(order, shards), _ROWS)
-    for k in range(order, 0, -1):
-        flow = flow.groupBy("cell").applyInArrow(_answers(k, shards), _ROWS)
-    return dealt.groupBy("chunk").cogroup(flow.groupBy("chunk")).applyInArrow(_scores(order, shards), RESULT)
+    texts = dealt.groupBy("chunk")
+    told = cut(texts.applyInArrow(_requests(order, shards), _ASKED_ROWS).groupBy("shard").applyInArrow(_answers, _TOLD_ROWS))
+    sums = {r[0]: list(r[1:]) for r in told.where("chunk = -1").groupBy("k").agg(*(F.sum(F.col("totals")[i]) for i in range(4))).collect()}
+    totals = [sums.get(k, [0, 0, 0, 0]) for k in range(1, order + 1)]
+    answers = told.where("chunk >= 0").drop("totals")
+    followers = texts.cogroup(answers.groupBy("chunk")).applyInArrow(_followers(order, shards), _ASKED_ROWS)
+    spread = followers.groupBy("shard").applyInArrow(_spread, _TOLD_ROWS).drop("totals")
+    return texts.cogroup(answers.union(spread).groupBy("chunk")).applyInArrow(_scores(totals, shards), RESULT)
