@@ -2,11 +2,12 @@
 
 1. Tokenise (mapInArrow, no shuffle). White space separates the tokenizer's words, so a bounded cache from word to
    ids does most of the work; the tokenizer itself is asked for each word that the cache doesn't hold.
-2. Only the pieces' lengths are shuffled: to shards of about `SHARD_PIECES` pieces by a hash of document and piece,
-   so that equal lengths or copies spread evenly and a shard's size doesn't depend on the data.
-3. A shard packs its pieces: best fit in decreasing order, then local search over the underfull bins: documents of
-   the emptiest bin move to other bins' gaps, or are exchanged one for one or two for one, each step increasing the
-   sum of squared fills, until the bin is empty or no step is left.
+2. Pieces that fill a sequence are done. Of the others only the lengths are shuffled: to shards of about `SHARD_PIECES` pieces by a
+   hash of document and piece, so that equal lengths or copies spread evenly and a shard's size doesn't depend on the data.
+3. A shard packs its pieces: best fit in decreasing order, then local search over all underfull bins: documents move to
+   fuller bins' gaps, or are exchanged one for one or two for one, each step increasing the sum of squared fills,
+   until bins empty and no step is left. If that isn't the least number of bins that could do, the search is made once more
+   from bins that are best fit in a mixed order, and the better result stays.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, encode_words, keep, pick, slices
+from .common import BLANKS, cut, encode_words, keep, pick, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -165,13 +167,13 @@ def pieces_of(path: str, capacity: int, end_id: int):
     return run
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Bin of each length, best fit in decreasing order: the fullest bin with room."""
+def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> np.ndarray:
+    """Bin of each length, taken in decreasing or in the given order: the fullest bin with room."""
     bins = np.zeros(len(lengths), np.int64)
     by_room: dict[int, list[int]] = {}
     rooms: list[int] = []
     made = 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in (np.argsort(-lengths, kind="stable") if order is None else order).tolist():
         n = int(lengths[i])
         at = bisect_left(rooms, n)
         if at == len(rooms):
@@ -191,69 +193,149 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int = 8) -> np.ndarray:
-    """Empties underfull bins: the emptiest bin's documents move to other bins or are exchanged for smaller ones there.
+class LocalSearch:
+    """Exchanges documents between underfull bins until none is left that increases the sum of squared fills.
 
-    A step is taken only if the other bin gets fuller without overflowing, so the sum of squared fills grows and the
-    search ends. A bin that no step can empty stays as it is; after `patience` such bins the search stops.
+    In each round the bins are taken from the fullest on, and each takes what fills it best from the bins after it (the
+    donors): a document for its gap, one for one, one for two of its own, or two for one of its own. A donor loses what a
+    fuller bin gains, so the sum of squares grows with each exchange and the search ends; the emptiest bins empty. Donors'
+    documents are held by length, so the best partner of an exchange is found without a walk through them.
     """
-    lengths, bins = lengths.astype(np.int64), bins.copy()
-    fill = np.bincount(bins, lengths).astype(np.int64)
-    items: list[list[int]] = [[] for _ in fill]
-    for i, b in enumerate(bins.tolist()):
-        items[b].append(i)
-    given_up: set[int] = set()
-    while len(given_up) < patience:
-        under = [int(b) for b in np.flatnonzero((fill > 0) & (fill < capacity)) if int(b) not in given_up]
-        if len(under) < 2 or sum(int(fill[b]) for b in under) <= 0:
-            break
-        a = min(under, key=lambda b: (fill[b], b))
-        others = np.array([b for b in np.flatnonzero((fill > 0) & (fill < capacity)) if b != a])
-        if not len(others) or not _empty(a, others, lengths, bins, fill, items, capacity):
-            given_up.add(a)
-    _, out = np.unique(bins, return_inverse=True)
-    return out
-
-
-def _empty(a: int, others: np.ndarray, lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, items: list[list[int]], capacity: int) -> bool:
-    while items[a]:
-        room = capacity - fill[others]
-        here = sorted(items[a], key=lambda i: -lengths[i])
-        step = None
-        for i in here:  # move: the fullest bin with room
-            fits = np.flatnonzero(room >= lengths[i])
-            if len(fits):
-                step = (int(others[fits[np.argmin(room[fits])]]), [i], [])
-                break
-        if step is None and (there := np.array([j for b in others[room > 0] for j in items[b]], np.int64)).size:
-            gap = capacity - fill[bins[there]]
-            best = 0
-            options = [[i] for i in here] + [[i, j] for k, i in enumerate(here) for j in here[k + 1 :]][:200]
-            for out in options:  # exchange one for one or two for one: the largest growth of the sum of squares
-                n = int(lengths[out].sum())
-                grow = n - lengths[there]
-                gain = np.where((grow > 0) & (grow <= gap), grow * (fill[bins[there]] - fill[a] + grow), 0)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, step = int(gain[k]), (int(bins[there[k]]), out, [int(there[k])])
-        if step is None:
+
+    def __init__(self, lengths: np.ndarray, bins: np.ndarray, capacity: int) -> None:
+        self.capacity, self.length, self.bin = capacity, lengths.tolist(), bins.tolist()
+        self.fill = np.bincount(bins, lengths).astype(int).tolist() if len(bins) else []
+        self.items: list[set[int]] = [set() for _ in self.fill]
+        for i, b in enumerate(self.bin):
+            self.items[b].add(i)
+
+    def run(self) -> np.ndarray:
+        least = -(-sum(self.length) // self.capacity)
+        while sum(f > 0 for f in self.fill) > least and self._round():
+            pass
+        return np.unique(self.bin, return_inverse=True)[1]
+
+    def _round(self) -> bool:
+        under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: (-self.fill[b], b))
+        self.held: list[list[int]] = [[] for _ in range(self.capacity + 1)]
+        self.free: set[int] = set()
+        self.number = np.zeros(self.capacity + 1, np.int64)
+        self.mask, self.floor = 0, None
+        for b in reversed(under):
+            for i in sorted(self.items[b]):
+                self._give(i)
+        changed = False
+        for a in under:
+            for i in self.items[a]:
+                self._keep(i)
+            while self.fill[a] and self.fill[a] < self.capacity and self.mask and self._step(a):
+                changed = True
+        return changed
+
+    def _give(self, i: int) -> None:
+        """A document of a donor."""
+        n = self.length[i]
+        self.held[n].append(i)
+        self.free.add(i)
+        self.number[n] += 1
+        if self.number[n] == 1:
+            self.mask |= 1 << n
+            self.floor = None
+
+    def _keep(self, i: int) -> None:
+        n = self.length[i]
+        self.free.discard(i)
+        self.number[n] -= 1
+        if not self.number[n]:
+            self.mask ^= 1 << n
+            self.floor = None
+
+    def _of(self, n: int, but: int = -1) -> int:
+        """A donors' document of this length."""
+        held = self.held[n]
+        while held[-1] not in self.free:
+            held.pop()
+        if held[-1] != but:
+            return held[-1]
+        return next(i for i in reversed(held) if i in self.free and i != but)
+
+    def _largest(self, most: int) -> int:
+        """The largest length of at most `most` that a donor's document has, or 0."""
+        return max(0, (self.mask & ((2 << min(most, self.capacity)) - 1)).bit_length() - 1)
+
+    def _two(self, most: int) -> tuple[int, int]:
+        """The two lengths of donors' documents with the largest sum of at most `most`, or zeros."""
+        if self.floor is None:
+            self.floor = np.maximum.accumulate(np.where(self.number > 0, np.arange(self.capacity + 1), 0))
+        first = np.flatnonzero(self.number[: min(most, self.capacity)])
+        second = self.floor[np.minimum(most - first, first)]
+        second = np.where((second == first) & (self.number[first] < 2), self.floor[np.maximum(first - 1, 0)], second)
+        both = np.where(second > 0, first + second, 0)
+        if not len(both) or not both.max():
+            return 0, 0
+        k = int(both.argmax())
+        return int(first[k]), int(second[k])
+
+    def _step(self, a: int) -> bool:
+        """The exchange that fills bin a most, if there is one."""
+        gap = self.capacity - self.fill[a]
+        own = sorted({self.length[i]: i for i in sorted(self.items[a], reverse=True)}.items())
+        best, out, into = self._largest(gap), [], [self._largest(gap)]
+        twice = Counter(self.length[i] for i in self.items[a])
+        options = [([i], n) for n, i in own]
+        for k, (n, i) in enumerate(own):
+            options += [([i, j], n + m) for m, j in own[k + 1 :]]
+            if twice[n] > 1:
+                options.append(([i, next(j for j in self.items[a] if j != i and self.length[j] == n)], 2 * n))
+        for leave, n in options:
+            if best < gap and (m := self._largest(n + gap)) - n > best:
+                best, out, into = m - n, leave, [m]
+        for n, i in own:
+            if best < gap and sum(two := self._two(n + gap)) - n > best:
+                j = self._of(two[0])
+                places = self._place(a, i, [j, self._of(two[1], j)])
+                if places:
+                    best, out, into = sum(two) - n, [i], list(two)
+        if not best:
             return False
-        b, out, back = step
+        come = [self._of(into[0])]
+        if len(into) > 1:
+            come.append(self._of(into[1], come[0]))
+        home = self.bin[come[0]] if len(into) == 1 else self._place(a, out[0], come)[0]
+        for j in come:
+            self._keep(j)
+            self._move(j, a)
         for i in out:
-            items[a].remove(i)
-            items[b].append(i)
-            bins[i] = b
-        for j in back:
-            items[b].remove(j)
-            items[a].append(j)
-            bins[j] = a
-        moved = int(lengths[out].sum()) - int(lengths[back].sum())
-        fill[a] -= moved
-        fill[b] += moved
-        others = others[fill[others] < capacity]
-        if not len(others) and items[a]:
-            return False
-    return True
+            self._move(i, home)
+            self._give(i)
+        return True
+
+    def _place(self, a: int, i: int, come: list[int]) -> list[int]:
+        """The bins of two documents that bin a would take for its document i where i fits then and the sum of squares grows."""
+        lost: dict[int, int] = {}
+        for j in come:
+            lost[self.bin[j]] = lost.get(self.bin[j], 0) + self.length[j]
+        gain = sum(lost.values()) - self.length[i]
+        grown = (self.fill[a] + gain) ** 2 - self.fill[a] ** 2
+        found = []
+        for home in lost:
+            after = {b: self.fill[b] - n + self.length[i] * (b == home) for b, n in lost.items()}
+            if after[home] <= self.capacity and grown + sum(f * f - self.fill[b] ** 2 for b, f in after.items()) > 0:
+                found.append(home)
+        return found
+
+    def _move(self, i: int, b: int) -> None:
+        was, n = self.bin[i], self.length[i]
+        self.items[was].remove(i)
+        self.items[b].add(i)
+        self.bin[i] = b
+        self.fill[was] -= n
+        self.fill[b] += n
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Bins after the local search, numbered from 0."""
+    return LocalSearch(lengths, bins, capacity).run()
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +343,9 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     if not len(lengths):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bins = local_search(lengths, best_fit(lengths, capacity), capacity)
+    if bins.max() >= -(-lengths.sum() // capacity):  # unsorted bins leave the search more to exchange
+        mixed = np.random.default_rng(len(lengths)).permutation(len(lengths))
+        bins = min(bins, local_search(lengths, best_fit(lengths, capacity, mixed), capacity), key=np.max)
     order = np.argsort(bins, kind="stable")
     ends = np.cumsum(lengths[order])
     first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
@@ -276,18 +361,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     Documents of up to `capacity` ids stay whole, longer ones are cut at multiples of it. Repeated rows are packed each.
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = rows.withColumn("row_key", F.xxhash64("doc_id", F.octet_length("text"))).mapInArrow(pieces_of(tokenizer_path, capacity, end_id), PIECES)
-    # Each row has at most one piece that isn't full, and full ones are bins by themselves.
-    shards = max(1, -(-rows.count() // shard_pieces))
+    pieces = cut(rows.withColumn("row_key", F.xxhash64("doc_id", F.octet_length("text"))).mapInArrow(pieces_of(tokenizer_path, capacity, end_id), PIECES))
+    # full pieces are sequences by themselves, with negative numbers; the others are dealt to shards
+    columns = RESULT_COLUMNS[:5]
+    full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    shards = max(1, -(-rest.count() // shard_pieces))
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = pack_lengths(table["length"].to_numpy(), capacity)
         numbers = pa.array(table["shard"].to_numpy() * (1 << 32) + bins)
-        return table.select(RESULT_COLUMNS[:5]).append_column("sequence_id", numbers).append_column("offset", pa.array(offsets))
+        return table.select(columns).append_column("sequence_id", numbers).append_column("offset", pa.array(offsets))
 
     shard = F.pmod(F.xxhash64("row_key", "piece"), F.lit(shards))
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(one, RESULT)
+    return rest.withColumn("shard", shard).groupBy("shard").applyInArrow(one, RESULT).union(full)
 
 
 RESULT_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]

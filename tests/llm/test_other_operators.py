@@ -151,6 +151,30 @@ def test_packing_search():
     assert len(packing.pack_lengths(np.zeros(0, np.int64), 100)[0]) == 0
 
 
+def test_packing_search_beats_best_fit():
+    """Lengths of which about three go to a bin: the search needs fewer bins than best fit, and no move or one-for-one exchange is left that fills a fuller bin."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(400, 1001, 3000)
+    first = packing.best_fit(lengths, 2048)
+    bins, _ = packing.pack_lengths(lengths, 2048)
+    assert np.bincount(bins, lengths).max() <= 2048 and bins.max() < 0.98 * first.max()
+    lengths = rng.integers(20, 60, 60)
+    found = packing.local_search(lengths, np.arange(60) // 2, 100)
+    fill = np.bincount(found, lengths).astype(int)
+    for i in range(60):
+        for j in range(60):
+            a, b, d = found[i], found[j], lengths[j] - lengths[i]
+            assert a == b or d <= 0 or fill[a] + d > 100 or fill[a] <= fill[b]
+            assert a == b or fill[a] + lengths[j] > 100 or fill[a] <= fill[b]
+
+
+def test_packing_full_pieces_leave_first(spark):
+    path = P.path("word_bpe_49k.json")
+    rows = packing.pack(spark.createDataFrame([(i, "x " * 1000) for i in range(3)] + [(9, None), (9, None)], SCHEMA), path, capacity=10, shard_pieces=4).collect()
+    assert sum(r.length == 10 for r in rows) == 300 and len({r.sequence_id for r in rows if r.length == 10}) == 300
+    assert sum(r.length for r in rows) == 3 * 1001 + 2 and sorted(r.offset for r in rows if r.length < 10) == [0, 1, 2, 3, 4]
+
+
 def test_packing_edges(spark):
     path = P.path("word_bpe_49k.json")
     assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
