@@ -1,22 +1,19 @@
 """Line deduplication by content-defined chunks of lines, in DataFrame functions only.
 
-1. A rolling hash (cyclic polynomial over the hashes of the last `ROLL` lines) ends a chunk where its low bits are
-   zero, and a line of `LONG_WORDS` words or more is a chunk by itself; so boundaries depend on nearby lines only, and
-   text that is inserted earlier doesn't shift them. A chunk counts if it has several lines and `MIN_WORDS` words, or
-   `LONG_WORDS` words.
-2. A repeated passage's first and last lines lie in chunks that reach outside it. To find these edges, windows are
-   fingerprinted as well: from each line forward and from each line back, the shortest run of two lines or more that
-   has `MIN_WORDS` words. So each line of text in a repeated passage of so many words lies in a window that doesn't
-   leave the passage, however short its lines are. Windows matter only where later
-   occurrences of chunks don't cover all their lines.
-3. Fingerprints (hash, lines, words) are counted over all documents; each that occurs twice or more has a first
+1. From each line that isn't blank a run goes on until it has two such lines and `MIN_WORDS` words. A rolling hash is taken of
+   the line hashes of each run, as a window slides over the lines. A line is a boundary, from which a chunk (its run)
+   begins, where its hash is the least of those of the next lines within `WINDOW_WORDS` words. So boundaries depend on nearby lines only: text
+   that is inserted earlier doesn't shift them, and any passage of several lines with `WINDOW_WORDS + MIN_WORDS` words has a
+   chunk within it. A line of `LONG_WORDS` words or more is a chunk by itself, too.
+2. Fingerprints of chunks (hash, lines, words) are counted over all documents; each that occurs twice or more has a first
    occurrence, by doc_id.
-4. The texts of repeated spans are compared byte by byte with the first occurrence's, and equal ones are removed, so the
-   first occurrence of every line stays.
+3. The texts of later occurrences are compared byte by byte with the first one's. Where they are equal, the match is extended line
+   by line, also by bytes, into the `CONTEXT_WORDS` words before and after the chunk, which reach from any chunk of a repeated passage
+   to its next one and to its edges. What matches is removed but for blank lines at the ends, so the first occurrence of every line stays.
 
 Fingerprints are pre-aggregated before their shuffle, occurrences meet their first one in a join that adaptive
 execution can split, and lists are only ever gathered within one document, so a passage in a third of all documents
-makes no hot task. Whole texts travel once, by row hash.
+makes no hot task. Whole texts travel once, by row. Rows are told apart by doc_id and a 64-bit hash of all columns.
 
 Words end at any white space; in scripts without spaces, `UNSPACED_CHARS` characters count as a word.
 
@@ -26,18 +23,17 @@ happens to one happens to all. Columns other than doc_id and text come through u
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick
 
-ROLL = 2
-#: A chunk ends where this many low bits of the rolling hash are zero: 2 lines on average, besides long lines.
-BOUNDARY_BITS = 1
 MIN_WORDS = 16
+WINDOW_WORDS = 16
 LONG_WORDS = 50
+CONTEXT_WORDS = WINDOW_WORDS + MIN_WORDS
+#: Lines that are looked at first; if they aren't enough, as many as there may be words.
+NEAR_LINES = 5
 #: Thai, Lao, Burmese, Khmer, kana, ideographs.
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
 UNSPACED_CHARS = 2
@@ -57,89 +53,104 @@ def _words(line: Column) -> Column:
     return F.when(F.length(line) == F.octet_length(line), plain).otherwise(mixed)
 
 
-def _spans(text: Column, min_words: int, long_words: int, bits: int) -> Column:
-    """Chunks and windows of a text: array of (start, n, words, hash, is_chunk)."""
+def _fold(items: Column, most: int, zero: Column, step, done) -> Column:
+    """Aggregates the first `most` items, or only NEAR_LINES of them if then the state is done."""
+    short = F.aggregate(F.slice(items, 1, NEAR_LINES), zero, step)
+    return let(short, lambda a: F.when(done(a), a).otherwise(F.aggregate(F.slice(items, 1, most), zero, step)))
+
+
+def _chunks(text: Column, min_words: int, window_words: int, long_words: int) -> Column:
+    """Chunks of a text: array of (hash, start, n, words, at, full); at: lines that aren't blank before it, full: those in it."""
     facts = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("w")))
 
     def of(lines: Column) -> Column:
-        last = F.size(lines) - 1
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+
+        def run(i: Column, k: Column, full: Column) -> Column:
+            """Where the run from a line ends, and how many runs begin within the window."""
+            zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("seen"), F.lit(0).alias("window"), F.lit(0).alias("own"), F.lit(0).alias("full"), F.lit(-1).alias("end"))
+
+            def enough(a: Column) -> Column:
+                return (a["own"] >= min_words) & (a["full"] >= 2)
+
+            def step(a: Column, j: Column) -> Column:
+                w = F.get(lines, j)["w"]
+                return F.struct(
+                    (a["words"] + w).alias("words"), (a["seen"] + 1).alias("seen"), F.when((a["words"] + w <= window_words) | (a["seen"] == 0), a["window"] + 1).otherwise(a["window"]).alias("window"),
+                    F.when(enough(a), a["own"]).otherwise(a["own"] + w).alias("own"), F.when(enough(a), a["full"]).otherwise(a["full"] + 1).alias("full"), F.when(enough(a), a["end"]).otherwise(j).alias("end"),
+                )
+
+            found = _fold(F.slice(full, k + 1, window_words + 2), window_words + 2, zero, step, lambda a: enough(a) & (a["words"] > window_words))
+            return let(found, lambda a: F.when(enough(a), let(F.slice(lines, i + 1, a["end"] - i + 1), lambda part: F.struct(
+                F.xxhash64(part).alias("hash"), k.alias("k"), i.alias("start"), (a["end"] - i + 1).alias("n"), a["own"].alias("words"), k.alias("at"), a["full"].alias("full"), a["window"].alias("window"),
+            ))))
+
+        # runs that the text's end cuts off are null, and stand at the end
+        runs = let(F.filter(every, lambda i: F.get(lines, i)["w"] > 0), lambda full: F.filter(F.transform(full, lambda i, k: run(i, k, full)), lambda r: r.isNotNull()))
+        fields = ("hash", "start", "n", "words", "at", "full")
+        begin = let(runs, lambda r: let(F.array_distinct(F.transform(r, lambda x, k: F.array_min(F.slice(r, k + 1, x["window"]))["k"])), lambda chosen: F.transform(chosen, lambda k: let(F.get(r, k), lambda x: F.struct(*(x[f].alias(f) for f in fields))))))
+        one = F.lit(1)
+        long_lines = let(F.filter(every, lambda i: F.get(lines, i)["w"] > 0), lambda full: F.filter(F.transform(full, lambda i, k: F.when(F.get(lines, i)["w"] >= long_words, F.struct(
+            F.xxhash64(F.slice(lines, i + 1, 1)).alias("hash"), i.alias("start"), one.alias("n"), F.get(lines, i)["w"].alias("words"), k.alias("at"), one.alias("full"),
+        ))), lambda x: x.isNotNull()))
+        return F.concat(begin, long_lines)
 
-        def rolled(i: Column) -> Column:
-            return reduce(lambda a, k: a.bitwiseXOR(F.shiftleft(F.coalesce(F.get(lines, i - k)["h"], F.lit(0).cast("long")), k)), range(1, ROLL), F.get(lines, i)["h"])
-
-        def ends(i: Column) -> Column:
-            long_here = F.get(lines, i)["w"] >= long_words
-            long_next = F.coalesce(F.get(lines, i + 1)["w"] >= long_words, F.lit(True))
-            return long_here | long_next | (rolled(i).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) == 0)
+    return let(facts, of)
 
-        def span(start: Column, n: Column, chunk: bool) -> Column:
-            part = F.slice(lines, start + 1, n)
-            return F.struct(start.alias("start"), n.alias("n"), F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]).alias("words"), F.xxhash64(part).alias("hash"), F.lit(chunk).alias("is_chunk"))
 
-        cuts = F.filter(F.sequence(F.lit(0), last), ends)
-        chunks = let(cuts, lambda e: F.transform(e, lambda end, j: let(F.when(j == 0, F.lit(0)).otherwise(F.get(e, j - 1) + 1), lambda start: span(start, end - start + 1, True))))
+def _around(lines: Column, m: Column, words: int) -> tuple[Column, Column]:
+    """The lines before a chunk, nearest first, and those after it, until they have so many words."""
+    counts = F.transform(lines, _words)
 
-        def words(i: Column) -> Column:
-            return F.coalesce(F.get(lines, i)["w"], F.lit(0))
+    def reach(near: Column, of: Column) -> Column:
+        """The last of these lines that is needed, or -1."""
+        zero = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("line"))
+        step = lambda a, i: F.when(a["words"] >= words, a).otherwise(F.struct((a["words"] + F.get(of, i)).alias("words"), i.alias("line")))
+        return _fold(near, words, zero, step, lambda a: a["words"] >= words)["line"]
 
-        def code(start: Column, end: Column) -> Column:
-            return F.when((start >= 0) & (end <= last), F.shiftleft(start.cast("long"), 32) + (end - start + 1))
+    def of(counted: Column) -> Column:
+        return let(F.filter(F.sequence(F.lit(0), F.size(counted) - 1), lambda i: F.get(counted, i) > 0), lambda full: F.transform(m, lambda x: F.struct(
+            x.alias("m"),
+            let(reach(F.reverse(F.slice(full, F.greatest(x["at"] - words + 1, F.lit(1)), F.least(x["at"], F.lit(words)))), counted), lambda b: F.when(b >= 0, F.reverse(F.slice(lines, b + 1, x["start"] - b))).otherwise(F.array().cast("array<string>"))).alias("before"),
+            let(reach(F.slice(full, x["at"] + x["full"] + 1, words), counted), lambda b: F.when(b >= 0, F.slice(lines, x["start"] + x["n"] + 1, b - x["start"] - x["n"] + 1)).otherwise(F.array().cast("array<string>"))).alias("after"),
+        )))
 
-        def reach(near: Column) -> Column:
-            """Where the lines at these places, added up in their order, have min_words; null if never."""
-            none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("at"))
-            add = lambda a, i: F.when(a["words"] >= min_words, a).otherwise(F.struct((a["words"] + words(i)).alias("words"), i.alias("at")))
-            return F.aggregate(near, none, add, lambda a: F.when(a["words"] >= min_words, a["at"]))
+    return let(counts, of)
 
-        pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(words(i) + words(i + 1) >= min_words, code(i, i + 1)))
-        # a line that isn't blank has a word, so min_words of them are enough
-        grown = let(F.filter(F.sequence(F.lit(0), last), lambda i: words(i) > 0), lambda full: F.concat(
-            F.transform(full, lambda i, k: F.when(words(i) + words(i + 1) < min_words, code(i, reach(F.slice(full, k + 1, min_words))))),
-            F.transform(full, lambda i, k: F.when(words(i - 1) + words(i) < min_words, code(reach(F.reverse(F.slice(full, F.greatest(k + 2 - min_words, F.lit(1)), F.least(k + 1, F.lit(min_words))))), i))),
-        ))
-        codes = F.array_except(F.filter(F.concat(pairs, grown), lambda c: c.isNotNull()), F.transform(chunks, lambda s: code(s["start"], s["start"] + s["n"] - 1)))
-        windows = F.transform(codes, lambda c: span(F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), False))
-        return F.filter(F.concat(chunks, windows), lambda s: ((s["n"] > 1) & (s["words"] >= min_words)) | (s["words"] >= long_words))
 
-    return let(facts, of)
+def _equal(one: Column, other: Column) -> Column:
+    """How many first lines of two lists are equal, up to the last one that isn't blank."""
+    same = F.zip_with(one, other, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    n = let(F.array_position(same, False), lambda p: F.when(p == 0, F.size(same)).otherwise(p - 1).cast("int"))
+    full = F.transform(F.slice(one, 1, n), lambda x, i: F.when(F.length(F.trim(x)) > 0, i + 1).otherwise(0))
+    return F.coalesce(F.array_max(full), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, bits: int = BOUNDARY_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), min_words: int = MIN_WORDS, window_words: int = WINDOW_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """The named columns of every row (doc_id and text among them), text without repeated passages, and n_lines, n_removed (lines)."""
     inner = {c: f"_in_{c}" for c in columns}  # the caller's names can't meet those used here
     inner |= {"doc_id": "doc_id", "text": "text"}
     plain = pick(docs, *columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).toDF(*(inner[c] for c in columns))
     key = F.xxhash64(*(inner[c] for c in columns))
-    spans = plain.where("text is not null").select(F.col("doc_id"), key.alias("row_key"), F.explode(_spans(F.col("text"), min_words, long_words, bits)).alias("s")).select("doc_id", "row_key", "s.*")
+    chunks = plain.where("text is not null").select(F.col("doc_id"), key.alias("row_key"), F.explode(_chunks(F.col("text"), min_words, window_words, long_words)).alias("s")).select("doc_id", "row_key", "s.*")
     first = F.min(F.struct("doc_id", "row_key", "start")).alias("first")
-    repeated = spans.groupBy("hash", "n", "words").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "n", "words", "first")
-    found = spans.join(repeated, ["hash", "n", "words"]).select(
-        "row_key", F.struct("start", "n", "words", "hash", "is_chunk", ((F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))).alias("is_first")).alias("s")
-    )
-    marks = cut(found.groupBy("row_key").agg(F.collect_set("s").alias("marks")).withColumnRenamed("row_key", "mark_key"))
-
-    def needed(all_marks: Column) -> Column:
-        """Chunks, and windows of which a line is in no later occurrence of a chunk; a first occurrence is always needed, for the comparison."""
-        chunks = F.filter(all_marks, lambda m: m["is_chunk"] & ~m["is_first"])  # a first occurrence isn't removed, so it covers nothing
-
-        def covered(c: Column, line: Column) -> Column:
-            return F.exists(c, lambda m: (line >= m["start"]) & (line < m["start"] + m["n"]))
-
-        return let(chunks, lambda c: F.filter(all_marks, lambda m: m["is_chunk"] | m["is_first"] | ~F.forall(F.sequence(m["start"], m["start"] + m["n"] - 1), lambda line: covered(c, line))))
-
-    def text_of(lines: Column, m: Column) -> Column:
-        return F.array_join(F.slice(lines, m["start"] + 1, m["n"]), "\n")
-
-    at = plain.join(marks, key == F.col("mark_key")).select(
-        "mark_key", F.explode(let(_lines(F.col("text")), lambda lines: F.transform(needed(F.col("marks")), lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n"), m["words"].alias("words"), m["hash"].alias("hash"), m["is_first"].alias("is_first"), text_of(lines, m).alias("bytes"))))).alias("m")
-    ).select("mark_key", "m.*")
-    firsts = at.where("is_first").groupBy("hash", "n", "words").agg(F.min("bytes").alias("first_bytes"))
-    same = at.where("not is_first").join(firsts, ["hash", "n", "words"]).where(F.col("bytes") == F.col("first_bytes"))
-    gone = same.groupBy(F.col("mark_key").alias("gone_key")).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-
-    joined = plain.join(gone, key == F.col("gone_key"), "left")
+    repeated = chunks.groupBy("hash", "n", "words").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "n", "words", "first")
+    is_first = F.struct("doc_id", "row_key", "start").eqNullSafe(F.col("first")).alias("is_first")
+    found = chunks.join(repeated, ["hash", "n", "words"]).select("doc_id", "row_key", F.struct("start", "n", "words", "hash", "at", "full", is_first).alias("s"))
+    marks = cut(found.groupBy("doc_id", "row_key").agg(F.collect_set("s").alias("marks")).withColumnsRenamed({"doc_id": "mark_id", "row_key": "mark_key"}))
+
+    of_row = lambda id_, key_: (key == F.col(key_)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    placed = plain.join(marks, of_row("mark_id", "mark_key")).select("mark_id", "mark_key", F.explode(let(_lines(F.col("text")), lambda lines: F.transform(_around(lines, F.col("marks"), window_words + min_words), lambda x: F.struct(
+        x["m"].alias("m"), F.array_join(F.slice(lines, x["m"]["start"] + 1, x["m"]["n"]), "\n").alias("bytes"), x["before"].alias("before"), x["after"].alias("after"),
+    )))).alias("x")).select("mark_id", "mark_key", "x.m.*", "x.bytes", "x.before", "x.after")
+    firsts = placed.where("is_first").groupBy("hash", "n", "words").agg(F.min(F.struct("bytes", "before", "after")).alias("of"))
+    same = placed.where("not is_first").join(firsts, ["hash", "n", "words"]).where(F.col("bytes") == F.col("of.bytes"))
+    ranges = same.select(F.col("mark_id").alias("gone_id"), F.col("mark_key").alias("gone_key"), "start", "n", _equal(F.col("before"), F.col("of.before")).alias("back"), _equal(F.col("after"), F.col("of.after")).alias("ahead"))
+    gone = ranges.groupBy("gone_id", "gone_key").agg(F.collect_set(F.struct((F.col("start") - F.col("back")).alias("start"), (F.col("start") + F.col("n") + F.col("ahead")).alias("end"))).alias("gone"))
+
+    joined = plain.join(gone, of_row("gone_id", "gone_key"), "left")
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("gone"), lambda g: (i >= g["start"]) & (i < g["start"] + g["n"])))
+    kept = let(F.sort_array("gone"), lambda g: F.filter(lines, lambda x, i: ~F.exists(g, lambda r: (i >= r["start"]) & (i < r["end"]))))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(kept)
     out = joined.select(*inner.values(), kept.alias("_kept"), F.size(F.coalesce(lines, F.array())).alias("_lines"))
     text = F.array_join("_kept", "\n")

@@ -314,6 +314,34 @@ def test_line_dedup_copies_with_other_chunks_at_their_edges(spark):
     assert {r.doc_id: r.n_removed for r in out} == {k: 3 if k % 4 else 0 for k in range(600)}
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Passages of 50 words or more at random offsets, in lines of any length: every line of a later copy goes, and nothing else."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for p in range(60):
+        lines, words = [], 0
+        while words < 50 or len(lines) < 2:
+            n = rng.choice([1, 2, 5, 9, 15, 30, 48])
+            lines.append(" ".join(f"b{p}l{len(lines)}w{j}" for j in range(n)))
+            words += n
+            if rng.random() < 0.2:
+                lines.append("")
+        while not lines[-1]:
+            lines.pop()
+        for k in range(3 * p, 3 * p + 3):
+            before, after = filler(30000 + 2 * k, rng.randint(0, 4)), filler(30001 + 2 * k, rng.randint(0, 4))
+            rows.append((k, "\n".join(x for x in (before, "\n".join(lines), after) if x)))
+            want[k] = "\n".join(x for x in ((before, after) if k % 3 else (before, "\n".join(lines), after)) if x)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()} == want
+
+
+def test_line_dedup_goes_by_chunks(spark, monkeypatch):
+    """Without boundaries, no passage of several lines is found."""
+    rows = [(k, f"{filler(40000 + 2 * k, 1)}\n{PASSAGE}\n{filler(40001 + 2 * k, 1)}") for k in range(4)]
+    assert [r.n_removed for r in line_dedup.dedup_lines(docs_of(spark, rows)).orderBy("doc_id").collect()] == [0, 5, 5, 5]
+    assert sum(r.n_removed for r in line_dedup.dedup_lines(docs_of(spark, rows), min_words=10**6).collect()) == 0
+
+
 def test_line_dedup_counts_words_of_scripts_without_spaces(spark):
     passage = "\n".join("".join(chr(0x4E00 + (37 * i + j) % 20000) for j in range(12)) for i in range(6))
     rows = [(k, f"{filler(7000 + k, 2)}\n{passage}\n{filler(7100 + k, 1)}") for k in range(4)]
