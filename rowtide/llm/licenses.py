@@ -4,7 +4,8 @@ Texts and templates are normalised to lower-case words (copyright lines of templ
 bigrams that occur in any template are its hits; a stretch without hits can't match. For each template with enough hits
 the scan takes stretches from each hit on, word by word to each further hit, while the stretch's size stays within
 the bounds that the Dice coefficient sets (a set of n bigrams and a template of m can reach t only if
-t / (2 - t) * m <= n <= (2 - t) / t * m, of which at most 2 * (1 - t) / t * m are foreign), and keeps the best. Where
+t / (2 - t) * m <= n <= (2 - t) / t * m, of which at most 2 * (1 - t) / t * m are foreign; and a stretch has at most twice as
+many words as those of a template of that size), and keeps the best. Where
 a stretch begins or ends amid the template, the words of the same line that stand for the template's rest count, too. Otherwise line
 breaks don't matter, so a notice amid a line, a text without line feeds and a licence that fills a page are found alike. Stretches of one
 template that overlap are one match; its best one counts. A match inside that of a template twice as large is part of it. Of other
@@ -16,6 +17,7 @@ matches. Every row gets a result row.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -127,6 +129,7 @@ class Template(NamedTuple):
     grams: frozenset[int]
     low: float  #: sizes of stretches that can reach the threshold
     high: float
+    most: int  #: words of a stretch, at most
     before: dict[int, int]  #: bigrams before a bigram's first place, and after its last
     after: dict[int, int]
 
@@ -151,7 +154,7 @@ def templates(threshold: float = THRESHOLD) -> Templates:
         grams = frozenset(bigrams(ids, size))
         order = [a * size + b for a, b in zip(ids, ids[1:])]
         before, after = ({g: i for i, g in reversed(list(enumerate(o)))} for o in (order, order[::-1]))
-        made.append(Template(name, grams, threshold / (2 - threshold) * len(grams), (2 - threshold) / threshold * len(grams), before, after))
+        made.append(Template(name, grams, threshold / (2 - threshold) * len(grams), (2 - threshold) / threshold * len(grams), int(2 * (2 - threshold) / threshold * len(ids)) + 1, before, after))
     return Templates(words, np.array(sorted(set().union(*(t.grams for t in made)))), made)
 
 
@@ -162,6 +165,28 @@ class Match(NamedTuple):
     last_line: int
 
 
+class Apart:
+    """Ranges that don't overlap, by their starts."""
+
+    def __init__(self) -> None:
+        self.firsts: list[int] = []
+        self.lasts: list[int] = []
+
+    def add(self, first: int, last: int) -> bool:
+        """Takes the range in unless it overlaps one."""
+        k = bisect_right(self.firsts, last)
+        if k and self.lasts[k - 1] >= first:
+            return False
+        self.firsts.insert(k, first)
+        self.lasts.insert(k, last)
+        return True
+
+    def holds(self, first: int, last: int) -> bool:
+        """Whether one of the ranges contains this one."""
+        k = bisect_right(self.firsts, first)
+        return k > 0 and self.lasts[k - 1] >= last
+
+
 def scan(text: bytes, threshold: float = THRESHOLD) -> list[Match]:
     """All matches of a text, by line."""
     known = templates(threshold)
@@ -170,8 +195,8 @@ def scan(text: bytes, threshold: float = THRESHOLD) -> list[Match]:
     flat = np.array([i for line in lines for i in line], np.int64)
     if len(flat) < 2:
         return []
-    ends = np.cumsum([len(line) for line in lines])
-    begins = [0, *ends[:-1].tolist()]
+    ends = np.cumsum([len(line) for line in lines]).tolist()
+    begins = [0, *ends[:-1]]
     codes = flat[:-1] * size + flat[1:]
     hits = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0))
     hits = hits[np.isin(codes[hits], known.known)]
@@ -181,6 +206,7 @@ def scan(text: bytes, threshold: float = THRESHOLD) -> list[Match]:
     distinct = set(codes_hit)
     ids: list[int] = []  # bigrams of all words, by first occurrence
     found: list[tuple[float, int, str, int, int]] = []
+    spans: list[tuple[int, Apart]] = []
     for t in known.all:
         count = len(distinct & t.grams)
         if 2 * count < threshold * (count + len(t.grams)) - 1e-9:
@@ -194,10 +220,10 @@ def scan(text: bytes, threshold: float = THRESHOLD) -> list[Match]:
         foreign = 2 * (1 - threshold) / threshold * len(t.grams) + 1e-9
         best: list[tuple[float, int, int]] = []
         for first in own:
-            start = max(first - t.before[own[first]], begins[int(np.searchsorted(ends, first, "right"))])
+            start = max(first - t.before[own[first]], begins[bisect_right(ends, first)])
             stretch = set(ids[start:first]) - {ids[first]}
             shared, top = len(stretch & mine), threshold - 1e-9
-            for at in range(first, len(ids)):
+            for at in range(first, min(len(ids), first + t.most)):
                 gram = ids[at]
                 if gram in stretch:
                     if gram == ids[first]:
@@ -211,23 +237,24 @@ def scan(text: bytes, threshold: float = THRESHOLD) -> list[Match]:
                 shared += 1
                 if 2 * shared / (len(stretch) + len(t.grams)) < top:
                     continue
-                end = min(at + t.after[own[at]], int(ends[np.searchsorted(ends, at + 1, "right")]) - 2)
+                end = min(at + t.after[own[at]], ends[bisect_right(ends, at + 1)] - 2)
                 rest = set(ids[at + 1 : end + 1]) - stretch
                 if (score := 2 * (shared + len(rest & mine)) / (len(stretch) + len(rest) + len(t.grams))) >= top:
                     best.append((score, start, end + 1))
                     top = score + 1e-12
         best.sort(key=lambda b: (-b[0], b[2] - b[1], b[1]))
-        taken: list[tuple[int, int]] = []
+        taken = Apart()
         for score, first, last in best:
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
+            if taken.add(first, last):
                 found.append((score, len(t.grams), t.name, first, last))
-    whole = [f for f in found if not any(g[1] >= 2 * f[1] and g[3] <= f[3] and f[4] <= g[4] for g in found)]
+        spans.append((len(t.grams), taken))
+    whole = [f for f in found if not any(n >= 2 * f[1] and taken.holds(f[3], f[4]) for n, taken in spans)]
     chosen: list[tuple[float, int, str, int, int]] = []
+    apart = Apart()
     for f in sorted(whole, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-        if all(f[4] < c[3] or f[3] > c[4] for c in chosen):
+        if apart.add(f[3], f[4]):
             chosen.append(f)
-    line_of = lambda word: int(np.searchsorted(ends, word, "right"))
+    line_of = lambda word: bisect_right(ends, word)
     return [Match(name, score, line_of(first), line_of(last)) for score, _, name, first, last in sorted(chosen, key=lambda c: c[3])]
 
 

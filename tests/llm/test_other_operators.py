@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -325,6 +326,32 @@ def test_license_scores(spark):
     assert out[50].n_matches == out[51].n_matches == out[52].n_matches == 0 and out[None].licenses == "All-rights-reserved"
 
 
+def test_license_scan_against_all_stretches():
+    """A match has a stretch of at least its score; a text of which some stretch scores well above the threshold is matched."""
+    rng = random.Random(3)
+    grams = lambda t: set(zip(t, t[1:]))
+    for name in ("ISC", "Zlib", "CC0-1.0-notice", "All-rights-reserved", "MIT"):
+        template = [w.decode() for w in licenses.words_of(licenses.TEMPLATES[name].encode())] if name in licenses.TEMPLATES else None
+        if template is None:
+            continue
+        own = grams(template)
+        for k in range(4):
+            words = [f"u{i}" for i in range(rng.randint(0, 9))] + [w if rng.random() > 0.02 * k else "zzz" for w in template] + [f"v{i}" for i in range(rng.randint(0, 9))]
+            text = "".join(w + rng.choice("  \n") for w in words)
+            best = max(2 * len(own & (g := grams(words[i:j]))) / (len(own) + len(g)) for i in range(0, len(words), 1 if len(words) < 60 else 3) for j in range(i + 2, len(words) + 1, 1 if len(words) < 60 else 3))
+            mine = [m.score for m in licenses.scan(text.encode()) if m.license == name]
+            assert all(m <= best + 0.03 for m in mine) and (mine or best < 0.9), (name, k)
+
+
+def test_license_scan_many_lines_and_rows(spark):
+    began = time.perf_counter()
+    assert len(licenses.scan(b"All rights reserved.\n" * 100_000)) == 100_000 and licenses.scan(b"rights " + b"reserved " * 300_000) == []
+    assert time.perf_counter() - began < 10  # linear: twice this machine's time for it is far less
+    assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+    again = licenses.scan_licenses(spark.createDataFrame([(1, "All rights reserved.")] * 3, SCHEMA)).collect()
+    assert [(r.doc_id, r.n_matches) for r in again] == [(1, 1)] * 3
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
