@@ -15,7 +15,8 @@ Fingerprints are pre-aggregated before their shuffle, occurrences meet their fir
 execution can split, and lists are only ever gathered within one document, so a passage in a third of all documents
 makes no hot task. Whole texts travel once, by row. Rows are told apart by doc_id and a 64-bit hash of all columns.
 
-Words end at any white space; in scripts without spaces, `UNSPACED_CHARS` characters count as a word.
+Words end at any white space; in lines with many letters beyond ASCII, `UNSPACED_CHARS` characters of scripts without spaces
+count as a word.
 
 A null text stays null and has no lines; an empty one has one empty line. Fully equal rows are one document: what
 happens to one happens to all. Columns other than doc_id and text come through unchanged.
@@ -49,8 +50,15 @@ def _lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
+    """Words of a line; without a regular expression where single spaces separate them and few letters are beyond ASCII."""
+    size, bytes_ = F.length(line), F.octet_length(line)
+    odd = F.contains(line, F.lit("  "))
+    for blank in "\t\r\x0b\x0c":
+        odd |= F.contains(line, F.lit(blank))
+    trimmed = F.trim(line)
+    single = F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
     plain, mixed = (F.regexp_count(line, F.lit(p)) for p in (r"\S+", rf"[{UNSPACED}]{{1,{UNSPACED_CHARS}}}|[^\s{UNSPACED}]+"))
-    return F.when(F.length(line) == F.octet_length(line), plain).otherwise(mixed)
+    return F.when((bytes_ - size) * 4 > size, mixed).when(odd, plain).otherwise(single)
 
 
 def _fold(items: Column, most: int, zero: Column, step, done) -> Column:
