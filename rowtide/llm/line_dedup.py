@@ -2,13 +2,13 @@
 
 1. From each line that isn't blank a run goes on until it has two such lines and `MIN_WORDS` words. A rolling hash is taken of
    the line hashes of each run, as a window slides over the lines. A line is a boundary, from which a chunk (its run)
-   begins, where its hash is the least of those of the next lines within `WINDOW_WORDS` words. So boundaries depend on nearby lines only: text
-   that is inserted earlier doesn't shift them, and any passage of several lines with `WINDOW_WORDS + MIN_WORDS` words has a
+   begins, where its hash is the least of those of the runs within some `PASSAGE_WORDS` words on end. So boundaries depend on nearby lines
+   only: text that is inserted earlier doesn't shift them, and any passage of several lines with `PASSAGE_WORDS` words has a
    chunk within it. A line of `LONG_WORDS` words or more is a chunk by itself, too.
-2. Fingerprints of chunks (hash, lines, words) are counted over all documents; each that occurs twice or more has a first
+2. Fingerprints of chunks (hash, lines) are counted over all documents; each that occurs twice or more has a first
    occurrence, by doc_id.
 3. The texts of later occurrences are compared byte by byte with the first one's. Where they are equal, the match is extended line
-   by line, also by bytes, into the `CONTEXT_WORDS` words before and after the chunk, which reach from any chunk of a repeated passage
+   by line, also by bytes, into the `PASSAGE_WORDS` words before and after the chunk, which reach from any chunk of a repeated passage
    to its next one and to its edges. What matches is removed but for blank lines at the ends, so the first occurrence of every line stays.
 
 Fingerprints are pre-aggregated before their shuffle, occurrences meet their first one in a join that adaptive
@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from .common import cut, pick
 
 MIN_WORDS = 16
-WINDOW_WORDS = 16
+PASSAGE_WORDS = 24
 LONG_WORDS = 50
-CONTEXT_WORDS = WINDOW_WORDS + MIN_WORDS
 #: Lines that are looked at first; if they aren't enough, as many as there may be words.
-NEAR_LINES = 5
+NEAR_LINES = 4
 #: Thai, Lao, Burmese, Khmer, kana, ideographs.
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
 UNSPACED_CHARS = 2
@@ -61,69 +60,82 @@ def _words(line: Column) -> Column:
     return F.when((bytes_ - size) * 4 > size, mixed).when(odd, plain).otherwise(single)
 
 
-def _fold(items: Column, most: int, zero: Column, step, done) -> Column:
-    """Aggregates the first `most` items, or only NEAR_LINES of them if then the state is done."""
-    short = F.aggregate(F.slice(items, 1, NEAR_LINES), zero, step)
-    return let(short, lambda a: F.when(done(a), a).otherwise(F.aggregate(F.slice(items, 1, most), zero, step)))
+def _reach(full: Column, k: Column, words: int, least: int) -> Column:
+    """The number of the first line from the k-th on, by which they are `least` and have so many words; null if none is."""
+    w = [F.get(full, k + i)["w"] for i in range(NEAR_LINES)]
+    out, total = F, w[0]
+    for i in range(1, NEAR_LINES):
+        total = total + w[i]
+        if i + 1 >= least:
+            out = out.when(total >= words, k + i)
+    zero = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("seen"))
+    step = lambda a, x: F.when(a["words"] >= words, a).otherwise(F.struct((a["words"] + x["w"]).alias("words"), (a["seen"] + 1).alias("seen")))
+    # a line that isn't blank has a word, so as many lines as words are enough
+    return out.otherwise(F.aggregate(F.slice(full, k + 1, words), zero, step, lambda a: F.when((a["words"] >= words) & (a["seen"] > 0), k + a["seen"])))
 
 
-def _chunks(text: Column, min_words: int, window_words: int, long_words: int) -> Column:
-    """Chunks of a text: array of (hash, start, n, words, at, full); at: lines that aren't blank before it, full: those in it."""
-    facts = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("w")))
+def _chunks(text: Column, min_words: int, passage_words: int, long_words: int) -> Column:
+    """Chunks of a text: array of (hash, start, n, at, full); at: lines that aren't blank before it, full: those in it."""
 
-    def of(lines: Column) -> Column:
-        every = F.sequence(F.lit(0), F.size(lines) - 1)
+    def of(lines: Column, full: Column) -> Column:
+        hashes, size = F.transform(lines, lambda x: F.xxhash64(x)), F.size(full)
 
-        def run(i: Column, k: Column, full: Column) -> Column:
-            """Where the run from a line ends, and how many runs begin within the window."""
-            zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("seen"), F.lit(0).alias("window"), F.lit(0).alias("own"), F.lit(0).alias("full"), F.lit(-1).alias("end"))
-
-            def enough(a: Column) -> Column:
-                return (a["own"] >= min_words) & (a["full"] >= 2)
-
-            def step(a: Column, j: Column) -> Column:
-                w = F.get(lines, j)["w"]
-                return F.struct(
-                    (a["words"] + w).alias("words"), (a["seen"] + 1).alias("seen"), F.when((a["words"] + w <= window_words) | (a["seen"] == 0), a["window"] + 1).otherwise(a["window"]).alias("window"),
-                    F.when(enough(a), a["own"]).otherwise(a["own"] + w).alias("own"), F.when(enough(a), a["full"]).otherwise(a["full"] + 1).alias("full"), F.when(enough(a), a["end"]).otherwise(j).alias("end"),
-                )
-
-            found = _fold(F.slice(full, k + 1, window_words + 2), window_words + 2, zero, step, lambda a: enough(a) & (a["words"] > window_words))
-            return let(found, lambda a: F.when(enough(a), let(F.slice(lines, i + 1, a["end"] - i + 1), lambda part: F.struct(
-                F.xxhash64(part).alias("hash"), k.alias("k"), i.alias("start"), (a["end"] - i + 1).alias("n"), a["own"].alias("words"), k.alias("at"), a["full"].alias("full"), a["window"].alias("window"),
+        def run(hashes: Column, x: Column, k: Column) -> Column:
+            end = _reach(full, k, min_words, 2)
+            return let(end, lambda end: F.when(end.isNotNull(), let(F.get(full, end)["i"] - x["i"] + 1, lambda n: F.struct(
+                F.xxhash64(F.slice(hashes, x["i"] + 1, n)).alias("hash"), k.alias("k"), x["i"].alias("start"), n.alias("n"), end.alias("end"),
             ))))
 
+        def least(runs: Column, k: Column) -> Column:
+            """The run with the least hash of those that end by the line where the passage from here on has its words."""
+            within = lambda some, last: F.array_min(F.filter(some, lambda r: r["end"] <= last))["k"]
+            few = F.slice(runs, k + 1, NEAR_LINES)
+            return let(F.coalesce(_reach(full, k, passage_words, 2), size - 1), lambda last: F.when(F.coalesce(F.get(runs, k + NEAR_LINES - 1)["end"], size) > last, within(few, last)).otherwise(within(F.slice(runs, k + 1, passage_words), last)))
+
         # runs that the text's end cuts off are null, and stand at the end
-        runs = let(F.filter(every, lambda i: F.get(lines, i)["w"] > 0), lambda full: F.filter(F.transform(full, lambda i, k: run(i, k, full)), lambda r: r.isNotNull()))
-        fields = ("hash", "start", "n", "words", "at", "full")
-        begin = let(runs, lambda r: let(F.array_distinct(F.transform(r, lambda x, k: F.array_min(F.slice(r, k + 1, x["window"]))["k"])), lambda chosen: F.transform(chosen, lambda k: let(F.get(r, k), lambda x: F.struct(*(x[f].alias(f) for f in fields))))))
+        runs = let(hashes, lambda h: F.filter(F.transform(full, lambda x, k: run(h, x, k)), lambda r: r.isNotNull()))
+        begin = let(runs, lambda r: let(F.array_distinct(F.transform(r, lambda x, k: least(r, k))), lambda chosen: F.transform(chosen, lambda k: let(F.get(r, k), lambda x: F.struct(
+            x["hash"].alias("hash"), x["start"].alias("start"), x["n"].alias("n"), k.alias("at"), (x["end"] - k + 1).alias("full"),
+        )))))
         one = F.lit(1)
-        long_lines = let(F.filter(every, lambda i: F.get(lines, i)["w"] > 0), lambda full: F.filter(F.transform(full, lambda i, k: F.when(F.get(lines, i)["w"] >= long_words, F.struct(
-            F.xxhash64(F.slice(lines, i + 1, 1)).alias("hash"), i.alias("start"), one.alias("n"), F.get(lines, i)["w"].alias("words"), k.alias("at"), one.alias("full"),
-        ))), lambda x: x.isNotNull()))
-        return F.concat(begin, long_lines)
+        alone = F.transform(F.filter(F.transform(full, lambda x, k: F.struct(x["i"].alias("i"), x["w"].alias("w"), k.alias("k"))), lambda x: x["w"] >= long_words), lambda x: F.struct(
+            F.xxhash64(F.array(F.xxhash64(F.get(lines, x["i"])))).alias("hash"), x["i"].alias("start"), one.alias("n"), x["k"].alias("at"), one.alias("full"),
+        ))
+        return F.concat(begin, alone)
+
+    return let(_lines(text), lambda lines: let(_full(lines), lambda full: of(lines, full)))
+
+
+def _full(lines: Column) -> Column:
+    """The lines that aren't blank: array of (i, w), number and words."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), _words(x).alias("w"))), lambda x: x["w"] > 0)
 
-    return let(facts, of)
 
+def _around(lines: Column, m: Column, words: int) -> Column:
+    """Each mark with the lines before its chunk, nearest first, and those after it, until they have so many words."""
+    none = F.array().cast("array<string>")
 
-def _around(lines: Column, m: Column, words: int) -> tuple[Column, Column]:
-    """The lines before a chunk, nearest first, and those after it, until they have so many words."""
-    counts = F.transform(lines, _words)
+    def of(full: Column) -> Column:
+        def reach(near: Column) -> Column:
+            """The last of these lines that is needed, or null."""
+            zero = F.struct(F.lit(0).alias("words"), F.lit(None).cast("int").alias("i"))
+            step = lambda a, x: F.when(a["words"] >= words, a).otherwise(F.struct((a["words"] + x["w"]).alias("words"), x["i"].alias("i")))
+            some = F.aggregate(F.slice(near, 1, NEAR_LINES), zero, step)
+            return let(some, lambda a: F.when(a["words"] >= words, a).otherwise(F.aggregate(near, zero, step)))["i"]
 
-    def reach(near: Column, of: Column) -> Column:
-        """The last of these lines that is needed, or -1."""
-        zero = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("line"))
-        step = lambda a, i: F.when(a["words"] >= words, a).otherwise(F.struct((a["words"] + F.get(of, i)).alias("words"), i.alias("line")))
-        return _fold(near, words, zero, step, lambda a: a["words"] >= words)["line"]
+        def one(x: Column) -> Column:
+            end = x["start"] + x["n"]
+            before = reach(F.reverse(F.slice(full, F.greatest(x["at"] - words + 1, F.lit(1)), F.least(x["at"], F.lit(words)))))
+            after = reach(F.slice(full, x["at"] + x["full"] + 1, words))
+            return F.struct(
+                x.alias("m"),
+                let(before, lambda b: F.when(b.isNotNull(), F.reverse(F.slice(lines, b + 1, x["start"] - b))).otherwise(none)).alias("before"),
+                let(after, lambda b: F.when(b.isNotNull(), F.slice(lines, end + 1, b - end + 1)).otherwise(none)).alias("after"),
+            )
 
-    def of(counted: Column) -> Column:
-        return let(F.filter(F.sequence(F.lit(0), F.size(counted) - 1), lambda i: F.get(counted, i) > 0), lambda full: F.transform(m, lambda x: F.struct(
-            x.alias("m"),
-            let(reach(F.reverse(F.slice(full, F.greatest(x["at"] - words + 1, F.lit(1)), F.least(x["at"], F.lit(words)))), counted), lambda b: F.when(b >= 0, F.reverse(F.slice(lines, b + 1, x["start"] - b))).otherwise(F.array().cast("array<string>"))).alias("before"),
-            let(reach(F.slice(full, x["at"] + x["full"] + 1, words), counted), lambda b: F.when(b >= 0, F.slice(lines, x["start"] + x["n"] + 1, b - x["start"] - x["n"] + 1)).otherwise(F.array().cast("array<string>"))).alias("after"),
-        )))
+        return F.transform(m, one)
 
-    return let(counts, of)
+    return let(_full(lines), of)
 
 
 def _equal(one: Column, other: Column) -> Column:
@@ -134,25 +146,25 @@ def _equal(one: Column, other: Column) -> Column:
     return F.coalesce(F.array_max(full), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), min_words: int = MIN_WORDS, window_words: int = WINDOW_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), min_words: int = MIN_WORDS, passage_words: int = PASSAGE_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """The named columns of every row (doc_id and text among them), text without repeated passages, and n_lines, n_removed (lines)."""
     inner = {c: f"_in_{c}" for c in columns}  # the caller's names can't meet those used here
     inner |= {"doc_id": "doc_id", "text": "text"}
     plain = pick(docs, *columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).toDF(*(inner[c] for c in columns))
     key = F.xxhash64(*(inner[c] for c in columns))
-    chunks = plain.where("text is not null").select(F.col("doc_id"), key.alias("row_key"), F.explode(_chunks(F.col("text"), min_words, window_words, long_words)).alias("s")).select("doc_id", "row_key", "s.*")
+    chunks = plain.where("text is not null").select(F.col("doc_id"), key.alias("row_key"), F.explode(_chunks(F.col("text"), min_words, passage_words, long_words)).alias("s")).select("doc_id", "row_key", "s.*")
     first = F.min(F.struct("doc_id", "row_key", "start")).alias("first")
-    repeated = chunks.groupBy("hash", "n", "words").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "n", "words", "first")
+    repeated = chunks.groupBy("hash", "n").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1").select("hash", "n", "first")
     is_first = F.struct("doc_id", "row_key", "start").eqNullSafe(F.col("first")).alias("is_first")
-    found = chunks.join(repeated, ["hash", "n", "words"]).select("doc_id", "row_key", F.struct("start", "n", "words", "hash", "at", "full", is_first).alias("s"))
+    found = chunks.join(repeated, ["hash", "n"]).select("doc_id", "row_key", F.struct("start", "n", "hash", "at", "full", is_first).alias("s"))
     marks = cut(found.groupBy("doc_id", "row_key").agg(F.collect_set("s").alias("marks")).withColumnsRenamed({"doc_id": "mark_id", "row_key": "mark_key"}))
 
     of_row = lambda id_, key_: (key == F.col(key_)) & F.col("doc_id").eqNullSafe(F.col(id_))
-    placed = plain.join(marks, of_row("mark_id", "mark_key")).select("mark_id", "mark_key", F.explode(let(_lines(F.col("text")), lambda lines: F.transform(_around(lines, F.col("marks"), window_words + min_words), lambda x: F.struct(
+    placed = plain.join(marks, of_row("mark_id", "mark_key")).select("mark_id", "mark_key", F.explode(let(_lines(F.col("text")), lambda lines: F.transform(_around(lines, F.col("marks"), passage_words), lambda x: F.struct(
         x["m"].alias("m"), F.array_join(F.slice(lines, x["m"]["start"] + 1, x["m"]["n"]), "\n").alias("bytes"), x["before"].alias("before"), x["after"].alias("after"),
     )))).alias("x")).select("mark_id", "mark_key", "x.m.*", "x.bytes", "x.before", "x.after")
-    firsts = placed.where("is_first").groupBy("hash", "n", "words").agg(F.min(F.struct("bytes", "before", "after")).alias("of"))
-    same = placed.where("not is_first").join(firsts, ["hash", "n", "words"]).where(F.col("bytes") == F.col("of.bytes"))
+    firsts = placed.where("is_first").groupBy("hash", "n").agg(F.min(F.struct("bytes", "before", "after")).alias("of"))
+    same = placed.where("not is_first").join(firsts, ["hash", "n"]).where(F.col("bytes") == F.col("of.bytes"))
     ranges = same.select(F.col("mark_id").alias("gone_id"), F.col("mark_key").alias("gone_key"), "start", "n", _equal(F.col("before"), F.col("of.before")).alias("back"), _equal(F.col("after"), F.col("of.after")).alias("ahead"))
     gone = ranges.groupBy("gone_id", "gone_key").agg(F.collect_set(F.struct((F.col("start") - F.col("back")).alias("start"), (F.col("start") + F.col("n") + F.col("ahead")).alias("end"))).alias("gone"))
 
