@@ -17,7 +17,8 @@ about `CHUNK_BYTES` by a hash.
    T(h) and answers each chunk that has the history.
 4. The chunk builds its part of the automaton from the answers, and its texts are traversed.
 A frequent n-gram costs a shard one key per chunk, so no key is hot. Messages are never empty, so there are no more of
-them than n-grams. What is collected is four totals for each order.
+them than n-grams, and one of four totals for each order to each chunk. Nothing is collected or broadcast; all is one
+plan, in which the texts are shuffled once.
 
 Keys: a word's key is its 64-bit hash; an n-gram's is a 64-bit hash of its history's key and its last word's.
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENS, cut, encode_words, pick, text_bytes
+from .common import TOKENS, encode_words, pick, text_bytes
 
 CHUNK_BYTES = 10 << 20
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -161,7 +162,7 @@ def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 def _answers(table: pa.Table) -> pa.Table:
     """A shard's part of the model: sums the counts, answers the chunks, and gives n-grams that were seen to the first chunk that has them.
 
-    A row of chunk -1 has the totals of an order: tokens, distinct n-grams, those seen once, and twice.
+    A row to chunk -1 has the totals of an order: tokens, distinct n-grams, those seen once, and twice.
     """
     out: list[dict] = []
     rows = sorted(table.to_pylist(), key=lambda r: (r["k"], r["chunk"]))
@@ -200,12 +201,17 @@ def _unpack_bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(np.int64)
 
 
-def _followers(order: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Per history that was seen: how many n-grams that the chunk owns go on from it."""
+def _followers(order: int, shards: int, chunks: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Per history that was seen: how many n-grams that the chunk owns go on from it. Chunk -1 adds up the totals and tells all chunks, as order 0."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[dict] = []
-        if texts.num_rows:
+        if answers.num_rows and answers["chunk"][0].as_py() < 0:
+            totals = np.zeros((order, 4), "<i8")
+            for k, own in zip(answers["k"].to_pylist(), answers["totals"].to_pylist()):
+                totals[k - 1] += np.array(own)
+            rows = [{"shard": c % shards, "k": 0, "chunk": c, "keys": totals.tobytes(), "counts": b""} for c in range(chunks)]
+        elif texts.num_rows:
             grams, told = Grams(texts["text"].combine_chunks(), order), answers.to_pylist()
             numbered = [grams.number(k) for k in range(1, order + 1)]
             keys = [x[0] for x in numbered]
@@ -222,10 +228,10 @@ def _followers(order: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Tab
 
 
 def _spread(table: pa.Table) -> pa.Table:
-    """A shard adds up the followers of each history and answers the chunks."""
-    out: list[dict] = []
+    """A shard adds up the followers of each history and answers the chunks; it hands on the totals."""
     rows = table.to_pylist()
-    for k in sorted({r["k"] for r in rows}):
+    out = [{"chunk": r["chunk"], "k": 0, "totals": np.frombuffer(r["keys"], "<i8").tolist()} for r in rows if not r["k"]]
+    for k in sorted({r["k"] for r in rows} - {0}):
         mine = [r for r in rows if r["k"] == k]
         _, sums, inverse, sizes = _summed(mine)
         start = 0
@@ -319,14 +325,15 @@ def discount(totals: list[int]) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
-def _scores(totals: list[list[int]], shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scores(order: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table([pa.array([], pa.int64() if i in (0, 2, 3, 4) else pa.bool_() if i == 1 else pa.float64()) for i in range(7)], names)
-        grams = Grams(texts["text"].combine_chunks(), len(totals))
-        auto = Automaton(grams, answers.to_pylist(), totals, shards)
+        grams, told = Grams(texts["text"].combine_chunks(), order), answers.to_pylist()
+        totals = np.array(next(r["totals"] for r in told if not r["k"])).reshape(order, 4).tolist()
+        auto = Automaton(grams, told, totals, shards)
         marks = grams.depth == 0
         total = lambda x: np.add.reduceat(np.where(marks, 0, x), grams.firsts)
         held = ~texts["train"].to_numpy(zero_copy_only=False).astype(bool)
@@ -347,10 +354,7 @@ def score(docs: DataFrame, train: Column, order: int = 2, chunk_bytes: int = CHU
     shards = max(1, -(-chunks // 2))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.coalesce(train, F.lit(False)).alias("train"), "text")
     texts = dealt.groupBy("chunk")
-    told = cut(texts.applyInArrow(_requests(order, shards), _ASKED_ROWS).groupBy("shard").applyInArrow(_answers, _TOLD_ROWS))
-    sums = {r[0]: list(r[1:]) for r in told.where("chunk = -1").groupBy("k").agg(*(F.sum(F.col("totals")[i]) for i in range(4))).collect()}
-    totals = [sums.get(k, [0, 0, 0, 0]) for k in range(1, order + 1)]
-    answers = told.where("chunk >= 0").drop("totals")
-    followers = texts.cogroup(answers.groupBy("chunk")).applyInArrow(_followers(order, shards), _ASKED_ROWS)
-    spread = followers.groupBy("shard").applyInArrow(_spread, _TOLD_ROWS).drop("totals")
-    return texts.cogroup(answers.union(spread).groupBy("chunk")).applyInArrow(_scores(totals, shards), RESULT)
+    told = texts.applyInArrow(_requests(order, shards), _ASKED_ROWS).groupBy("shard").applyInArrow(_answers, _TOLD_ROWS)
+    followers = texts.cogroup(told.groupBy("chunk")).applyInArrow(_followers(order, shards, chunks), _ASKED_ROWS)
+    spread = followers.groupBy("shard").applyInArrow(_spread, _TOLD_ROWS)
+    return texts.cogroup(told.union(spread).groupBy("chunk")).applyInArrow(_scores(order, shards), RESULT)
