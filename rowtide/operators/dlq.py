@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .numbering import row_numbers
 
 #: Limits of the queue, and shares of capacity that raise a warning and an alarm.
 CAPACITY, PEEK, MAX_PEEK, MAX_PAYLOAD, MAX_AGE_MS = 10_000, 50, 1_000, 256 * 1024, 7 * 86_400_000
@@ -20,17 +21,19 @@ def truncate_payload(before: Column, after: Column, limit: int = MAX_PAYLOAD) ->
 
 
 def entries(bad: DataFrame, pipeline: str, stream: str, now_ms: Column, start_seq: int = 0) -> DataFrame:
-    """Journal rows from failed events (an error column as `kind: text`); only serialization and routing errors go there.
+    """Journal rows from failed events (columns error and, if it is known, error_kind); only serialization and routing errors go there.
 
-    Numbers are dense within a batch: bad rows of one micro-batch, in the order of their event ids.
+    Without an error_kind column the kind is the error's text up to its first colon. Numbers are dense within a batch: bad
+    rows of one micro-batch, in the order of their event ids.
     """
-    kind = F.when(F.col("error").startswith("routing"), "routing").otherwise("serialization")
+    kind = F.col("error_kind") if "error_kind" in bad.columns else F.split_part(F.col("error"), F.lit(":"), F.lit(1))
+    bad = row_numbers(bad.withColumn("_kind", kind).where(F.col("_kind").isin(*ELIGIBLE)), [], ["event_id"], "_seq")
     before, after, large = truncate_payload(F.col("before"), F.col("after"))
-    seq = F.row_number().over(W.orderBy("event_id")) + F.lit(start_seq)
+    seq = F.col("_seq") + F.lit(start_seq + 1)
     return bad.select(
         seq.cast("bigint").alias("seq"), now_ms.cast("bigint").alias("timestamp_ms"), F.lit(pipeline).alias("pipeline"), F.lit(stream).alias("stream"), "event_id", F.to_json("source").alias("cursor"),
-        kind.alias("error_kind"), F.col("error"), F.struct(before.alias("before"), after.alias("after"), "op").alias("event"), large.alias("payload_truncated"),
-    ).where(F.col("error_kind").isin(*ELIGIBLE))
+        F.col("_kind").alias("error_kind"), F.col("error"), F.struct(before.alias("before"), after.alias("after"), "op").alias("event"), large.alias("payload_truncated"),
+    )
 
 
 def peek(journal: DataFrame, limit: int = PEEK, where: Column | None = None) -> DataFrame:
@@ -45,6 +48,27 @@ def drop_oldest(journal: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return journal.join(F.broadcast(cut), F.col("seq") >= F.col("cut")).drop("cut")
 
 
+class QueueFull(Exception):
+    """The queue has no room and its policy is to block: the batch comes again when entries have been acknowledged."""
+
+
+def admit(journal: DataFrame, new: DataFrame, capacity: int = CAPACITY, policy: str = "drop_oldest") -> tuple[DataFrame, DataFrame]:
+    """(the queue with the new entries, those that aren't in it). What is too much goes by the policy: the oldest entries (drop_oldest), the
+    newest of the new ones (reject), or nothing, as QueueFull is raised (block)."""
+    room = capacity - journal.count()
+    if policy == "drop_oldest":
+        both = journal.unionByName(new)
+        kept = drop_oldest(both, capacity)
+        return kept, both.join(kept.select("seq"), "seq", "left_anti")
+    fits = new.orderBy("seq").limit(max(0, room))
+    away = new.join(fits.select("seq"), "seq", "left_anti")
+    if policy == "block" and not away.isEmpty():
+        raise QueueFull(f"{max(0, room)} of {capacity} entries are free")
+    if policy not in ("reject", "block"):
+        raise ValueError(f"{policy!r} is none of drop_oldest, reject, block")
+    return journal.unionByName(fits), away
+
+
 def acknowledge(journal: DataFrame, up_to: int) -> DataFrame:
     return journal.where(F.col("seq") > up_to)
 

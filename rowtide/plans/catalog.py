@@ -322,12 +322,11 @@ def debezium_wrap(spark: SparkSession, d: str) -> DataFrame:
     return e.select(at("after.o_orderkey", "bigint").alias("o_orderkey"), at("after.o_totalprice", "double").alias("o_totalprice"), at("op", "string").alias("op"), F.is_variant_null(F.variant_get("v", "$.schema", "variant")).alias("schema_is_null"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'app-events' END AS topic, CASE WHEN event_id % 2 = 0 THEN value END AS raw_value FROM events WHERE event_id % 9 <> 0")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'app-events' END AS topic, CASE WHEN event_id % 2 = 0 THEN value END AS raw_value FROM events WHERE event_id % 2 = 0 OR event_id % 9 <> 0")
 def message_routing(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 2 == 0, F.struct(F.lit("raw").alias("topic"), F.lit(None).alias("key"), F.lit(None).alias("headers"), F.lit(True).alias("raw_payload")))
     name = F.when(F.col("event_id") % 9 == 0, F.lit(None)).otherwise(F.lit("app"))
-    e = click_events(spark, d, routing=raw, tenant_id=name).where(F.col("event_id") % 9 != 0)
-    good, _ = envelopes.messages(e, topic="${source.db}-${source.table}")
+    good, _ = envelopes.messages(click_events(spark, d, routing=raw, tenant_id=name), topic="${tenant_id}-${source.table}")
     return good.select(F.col("event_id").cast("bigint").alias("event_id"), "topic", F.when(F.col("topic") == "raw", F.try_variant_get(F.try_parse_json("value"), "$.value", "double")).alias("raw_value"))
 
 
@@ -448,14 +447,24 @@ def registry_versions(spark: SparkSession, d: str) -> DataFrame:
     return registry.register(rows).select(F.col("table").alias("tbl"), "hash", "version", "sequence")
 
 
-_STORED = "('shop','orders','id','int',1),('shop','orders','sku','varchar',NULL),('shop','orders','qty','int',NULL),('shop','gone','id','int',1)"
-_LIVE = "('shop','orders','id','bigint',1),('shop','orders','sku','varchar',2),('shop','orders','note','text',NULL),('shop','fresh','id','int',1)"
+def _catalog(rows: DataFrame, db: str, name: str, kind: Column, key: Column) -> DataFrame:
+    return rows.select(F.lit(db).alias("db"), F.concat(F.lit("t"), F.col("p_size")).alias("table"), F.col(name).alias("name"), kind.alias("data_type"), key.alias("pk_ordinal"))
 
 
-@query("SELECT * FROM (VALUES ('orders','id','type_changed',false),('orders','note','added',false),('orders','qty','dropped',false),('orders','sku','pk_changed',true),('gone',NULL,'table_dropped',false)) t(tbl, name, kind, is_stop)")
+@query(
+    "WITH s AS (SELECT 't' || p_size AS tbl, p_name || p_partkey AS name, p_partkey AS k FROM part WHERE p_partkey % 5 <> 0), l AS (SELECT 't' || p_size AS tbl, p_name || p_partkey AS name, p_partkey AS k FROM part WHERE p_partkey % 7 <> 0 AND p_size % 10 <> 0), "
+    "a AS (SELECT DISTINCT tbl FROM s), b AS (SELECT DISTINCT tbl FROM l), c AS (SELECT coalesce(s.tbl, l.tbl) AS tbl, coalesce(s.name, l.name) AS name, s.k AS sk, l.k AS lk FROM s FULL JOIN l ON s.tbl = l.tbl AND s.name = l.name), "
+    "k AS (SELECT * FROM c WHERE tbl IN (SELECT tbl FROM a) AND tbl IN (SELECT tbl FROM b)) "
+    "SELECT tbl, name, CASE WHEN sk IS NULL THEN 'added' WHEN lk IS NULL THEN 'dropped' ELSE 'type_changed' END AS kind, false AS is_stop FROM k WHERE sk IS NULL OR lk IS NULL OR sk % 3 = 0 "
+    "UNION ALL SELECT tbl, name, 'pk_changed', true FROM k WHERE (sk IS NOT NULL AND sk % 11 = 0) <> (lk IS NOT NULL AND lk % 13 = 0) UNION ALL SELECT tbl, NULL, 'table_dropped', false FROM a WHERE tbl NOT IN (SELECT tbl FROM b)"
+)
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    sides = [spark.sql(f"SELECT * FROM VALUES {v} AS t(db, table, name, data_type, pk_ordinal)") for v in (_STORED, _LIVE)]
-    return registry.diff(*sides).select(F.col("table").alias("tbl"), "name", "kind", "is_stop")
+    """Two catalogs whose columns are the parts, and whose tables are their sizes: some are dropped, added, of another type or key."""
+    parts = table(spark, d, "part").withColumn("named", F.concat("p_name", "p_partkey"))
+    k = F.col("p_partkey")
+    stored = _catalog(parts.where(k % 5 != 0), "shop", "named", F.lit("int"), F.when(k % 11 == 0, 1))
+    live = _catalog(parts.where((k % 7 != 0) & (F.col("p_size") % 10 != 0)), "shop", "named", F.when(k % 3 == 0, "bigint").otherwise("int"), F.when(k % 13 == 0, 1))
+    return registry.diff(stored, live).select(F.col("table").alias("tbl"), "name", "kind", "is_stop")
 
 
 def _declared(spark: SparkSession) -> DataFrame:
@@ -467,7 +476,7 @@ def _faulty(spark: SparkSession, d: str) -> DataFrame:
     """Events of which every 50th has no value, every 20th a user that is a text, every 30th a key too many."""
     k = F.col("event_id")
     user = F.when(k % 20 == 0, F.concat(F.lit('"u'), k, F.lit('"'))).otherwise(F.col("user_id").cast("string"))
-    value = F.when(k % 50 == 0, "null").otherwise(F.col("value").cast("string"))
+    value = F.when(k % 50 == 0, "null").otherwise(F.coalesce(F.col("value").cast("string"), F.lit("null")))
     body = F.concat(F.lit('{"event_id":'), k, F.lit(',"user_id":'), user, F.lit(',"event_type":"'), F.col("event_type"), F.lit('","value":'), value, F.when(k % 30 == 0, ',"extra":1').otherwise(""), F.lit("}"))
     return click_events(spark, d, after=body)
 
@@ -602,9 +611,10 @@ def dlq_truncation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", (large & before.isNull() & after.contains("_truncated")).alias("truncated"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'null' ELSE 'number' END AS value_type, CASE WHEN event_id % 20 = 0 THEN 'string' ELSE 'integer' END AS user_type, CASE WHEN event_id % 30 = 0 THEN 'integer' ELSE 'null' END AS extra_type FROM events WHERE value <> floor(value)")
+@query("SELECT event_id, CASE WHEN event_id % 50 = 0 OR value IS NULL THEN 'null' ELSE 'number' END AS value_type, CASE WHEN event_id % 20 = 0 THEN 'string' ELSE 'integer' END AS user_type, CASE WHEN event_id % 30 = 0 THEN 'integer' ELSE 'null' END AS extra_type FROM events")
 def json_type_names(spark: SparkSession, d: str) -> DataFrame:
-    e = _faulty(spark, d).join(table(spark, d, "events").where("value <> floor(value)").select(F.col("event_id").cast("string").alias("event_id")), "event_id", "left_semi")
+    """A whole number that is written with a fraction (3.0) is a number, not an integer."""
+    e = _faulty(spark, d)
     kind = lambda c: drift.json_type(paths.get(paths.image("after"), c))
     return e.select(F.col("event_id").cast("bigint").alias("event_id"), kind("value").alias("value_type"), kind("user_id").alias("user_type"), kind("extra").alias("extra_type"))
 
@@ -642,18 +652,19 @@ def mysql_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_nationkey", (paths.kind_of(F.col("v")) == "string").alias("is_text"), F.coalesce(F.when(paths.kind_of(F.col("v")) == "string", F.col("v").try_cast("string")), F.decode(F.substring(coerce.binary(F.col("v"))[0], 2, 1000), "UTF-8")).alias("name"))
 
 
-@query("SELECT count(DISTINCT (event_id % 30 = 0, event_id % 20 = 0, event_id % 50 = 0)) AS structures FROM events WHERE value <> floor(value)")
+@query("SELECT count(DISTINCT (event_id % 30 = 0, event_id % 20 = 0, event_id % 50 = 0 OR value IS NULL)) AS structures FROM events")
 def structure_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return _faulty(spark, d).select(sensing.fingerprint("after").alias("fp")).agg(F.count_distinct("fp").alias("structures"))
 
 
-@query("SELECT o_orderkey, true AS framed, o_orderkey % 2 = 1 AS odd FROM orders")
+@query("SELECT o_orderkey, true AS framed, o_totalprice AS price FROM orders")
 def avro_wire_format(spark: SparkSession, d: str) -> DataFrame:
     schema = avro.from_columns("Order", [ColumnInfo("k", "bigint"), ColumnInfo("p", "double")])
     rows = table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))).alias("j"))
     out = avro.encode_rows(rows, "j", schema, 258)
-    first = F.conv(F.hex(F.substring("avro", 7, 1)), 16, 10).cast("int")  # the low bits of the key's zigzag form
-    return out.select("o_orderkey", (F.hex(F.substring("avro", 1, 5)) == "0000000102").alias("framed"), (F.floor(first / 2) % 2 == 1).alias("odd"))
+    back = avro.decode_rows(out, "avro", schema)
+    v = lambda p, t: paths.get(paths.image("decoded"), p, t)
+    return back.select(v("k", "bigint").alias("o_orderkey"), (F.hex(F.substring("avro", 1, 5)) == "0000000102").alias("framed"), v("p", "double").alias("price"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")

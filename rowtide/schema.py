@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,14 @@ INTERNAL = ("routing", "size_bytes", "received_at_ms")
 OPS = ("c", "u", "d", "r", "t")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share (spark.checkpoint.dir), set as Spark's checkpoint folder, too; None if there is none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
 def is_valid_op(op: Column) -> Column:
     return F.coalesce(op.isin(*OPS), F.lit(False))
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import ColumnInfo, TypeOptions, avro_type, spark_type
@@ -65,16 +65,26 @@ def _lenient(kind: str, value: Any) -> Any:
     return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
+def records(schema: Any) -> dict[str, Any]:
+    """All records of a schema by name, as a field may refer to one that stands in a branch that isn't taken."""
+    if isinstance(schema, list):
+        return {k: v for part in schema for k, v in records(part).items()}
+    if not isinstance(schema, dict):
+        return {}
+    own = {schema["name"]: schema} if schema["type"] == "record" else {}
+    parts = [f["type"] for f in schema.get("fields", ())] + [schema[k] for k in ("items", "values") if k in schema]
+    return own | records(parts)
+
+
 def encode(schema: Any, value: Any, named: dict[str, Any] | None = None) -> bytes:
     """One datum. Missing fields are null."""
-    named = {} if named is None else named
+    named = records(schema) if named is None else named
     if isinstance(schema, str) and schema in named:
         schema = named[schema]
     if isinstance(schema, list):  # nullable
         return _long(0) if value is None else _long(1) + encode(schema[1], value, named)
     kind = schema if isinstance(schema, str) else schema["type"]
     if kind == "record":
-        named[schema["name"]] = schema
         fields = value if isinstance(value, dict) else {}
         return b"".join(encode(f["type"], fields.get(f["name"]), named) for f in schema["fields"])
     if kind == "array":
@@ -96,10 +106,65 @@ def encode(schema: Any, value: Any, named: dict[str, Any] | None = None) -> byte
     return _long(len(data)) + data
 
 
+def _read_long(data: memoryview, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        byte = data[at]
+        at += 1
+        n |= (byte & 0x7F) << shift
+        if byte < 0x80:
+            return (n >> 1) ^ -(n & 1), at
+        shift += 7
+
+
+def decode(schema: Any, data: memoryview, at: int = 0, named: dict[str, Any] | None = None) -> tuple[Any, int]:
+    """One datum and where it ends."""
+    named = records(schema) if named is None else named
+    if isinstance(schema, str) and schema in named:
+        schema = named[schema]
+    if isinstance(schema, list):
+        branch, at = _read_long(data, at)
+        return decode(schema[branch], data, at, named)
+    kind = schema if isinstance(schema, str) else schema["type"]
+    if kind == "null":
+        return None, at
+    if kind == "record":
+        out = {}
+        for f in schema["fields"]:
+            out[f["name"]], at = decode(f["type"], data, at, named)
+        return out, at
+    if kind in ("array", "map"):
+        items: list[Any] = []
+        while True:
+            n, at = _read_long(data, at)
+            if not n:
+                return (dict(items) if kind == "map" else items), at
+            for _ in range(n):
+                key = None
+                if kind == "map":
+                    key, at = decode("string", data, at, named)
+                item, at = decode(schema["values" if kind == "map" else "items"], data, at, named)
+                items.append((key, item) if kind == "map" else item)
+    if kind in ("int", "long"):
+        return _read_long(data, at)
+    if kind == "float":
+        return struct.unpack_from("<f", data, at)[0], at + 4
+    if kind == "double":
+        return struct.unpack_from("<d", data, at)[0], at + 8
+    if kind == "boolean":
+        return data[at] == 1, at + 1
+    n, at = _read_long(data, at)
+    return bytes(data[at : at + n]).decode(errors="replace"), at + n
+
+
 def subject(strategy: str, topic: str, record: str) -> str:
     return {"topic": f"{topic}-value", "record": record, "topic_record": f"{topic}-{record}"}[strategy]
 
 
+def subject_column(strategy: str, topic: Column, record: Column) -> Column:
+    return {"topic": F.concat(topic, F.lit("-value")), "record": record, "topic_record": F.concat(topic, F.lit("-"), record)}[strategy]
+
+
 class Registry:
     """Schema ids by subject and schema text; the interface of a schema service, kept in memory."""
 
@@ -114,10 +179,24 @@ def encode_rows(df: DataFrame, column: str, schema: Any, schema_id: int, out: st
     """Adds the wire form of a JSON text column; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = b"\x00" + struct.pack(">I", schema_id)
+        head, named = b"\x00" + struct.pack(">I", schema_id), records(schema)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            yield batch.append_column(out, pa.array([None if t is None else head + encode(schema, json.loads(t)) for t in texts], pa.binary()))
+            yield batch.append_column(out, pa.array([None if t is None else head + encode(schema, json.loads(t), named) for t in texts], pa.binary()))
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.select(*(F.col(f"`{c}`") for c in df.columns)).mapInArrow(run, f"{kind}, `{out}` binary")
+
+
+def decode_rows(df: DataFrame, column: str, schema: Any, out: str = "decoded") -> DataFrame:
+    """Adds the JSON text of a column in wire form; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = records(schema)
+        for batch in batches:
+            frames = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            texts = [None if f is None else json.dumps(decode(schema, memoryview(f), 5, named)[0], ensure_ascii=False) for f in frames]
+            yield batch.append_column(out, pa.array(texts, pa.string()))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.select(*(F.col(f"`{c}`") for c in df.columns)).mapInArrow(run, f"{kind}, `{out}` string")

@@ -32,7 +32,7 @@ def project(events: DataFrame, columns: list[ColumnInfo], options: TypeOptions =
             checks.append(F.when(value.isNull(), F.lit(f"{c.name}: null")))
     flagged = paths.computed(paths.computed(paths.computed(paths.computed(events, _row=row), **fields), **kinds), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
     extra = [F.col("op").alias("_op"), version().alias("_version"), (F.col("op") == "d").cast("int").alias("_deleted"), F.timestamp_millis("ts_ms").alias("_source_ts")]
-    return flagged.where("error is null").select(*(F.col(f"_values.`{n}`") for n in out), *extra), flagged.where("error is not null").drop("_row", "_values", *fields, *kinds)
+    return flagged.where("error is null").select(*(F.col(f"_values.`{n}`") for n in out), *extra), flagged.where("error is not null").drop("_row", "_values", *fields, *kinds).withColumn("error_kind", F.lit("serialization"))
 
 
 def current_state(log: DataFrame, key: list[str], order: tuple[str, ...] = ("_version",)) -> DataFrame:

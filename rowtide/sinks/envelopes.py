@@ -61,5 +61,5 @@ def messages(events: DataFrame, topic: str | None = None, key: str | None = None
     keys = [blank(templates.compile(key, row, strict=False))] if key else []
     out = events.withColumn("_topic", F.coalesce(blank(F.col("routing.topic")), *made)).withColumn("_key", F.coalesce(blank(F.col("routing.key")), *keys, idempotency_key()))
     good = out.where("_topic is not null").select(F.col("_topic").alias("topic"), F.col("_key").alias("key"), payload(envelope).alias("value"), F.col("routing.headers").alias("headers"), "event_id")
-    bad = out.where("_topic is null").drop("_topic", "_key").withColumn("error", F.lit("routing: no topic"))
+    bad = out.where("_topic is null").drop("_topic", "_key").withColumns({"error": F.lit("routing: no topic"), "error_kind": F.lit("routing")})
     return good, bad

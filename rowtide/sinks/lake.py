@@ -37,7 +37,7 @@ def typed(events: DataFrame, columns: list[ColumnInfo] | None, options: TypeOpti
     """(flat rows, bad events with an error column). Ten envelope columns, then before_x and after_x by column; without a declared schema
     the envelope columns alone. A row with one bad value is bad."""
     if columns is None:
-        return events.select(*meta_columns()), events.limit(0).withColumn("error", F.lit(None).cast("string"))
+        return events.select(*meta_columns()), events.limit(0).withColumns({"error": F.lit(None).cast("string"), "error_kind": F.lit("serialization")})
     out: dict[str, Column] = {}
     checks: list[Column] = []
     fields = {f"_{side}_{i}": paths.get(F.col(f"_{side}"), c.name) for i, c in enumerate(columns) for side in ("before", "after")}
@@ -51,7 +51,7 @@ def typed(events: DataFrame, columns: list[ColumnInfo] | None, options: TypeOpti
     parsed = paths.computed(events, **{f"_{s}": paths.image(s) for s in ("before", "after")})
     flagged = paths.computed(paths.computed(paths.computed(parsed, **fields), **kinds), _values=F.struct(*(v.alias(n) for n, v in out.items())), error=F.coalesce(*checks, F.lit(None).cast("string")))
     good = flagged.where("error is null").select(*meta_columns(), *(F.col(f"_values.`{n}`") for n in out))
-    return good, flagged.where("error is not null").drop("_before", "_after", "_values", *fields, *kinds)
+    return good, flagged.where("error is not null").drop("_before", "_after", "_values", *fields, *kinds).withColumn("error_kind", F.lit("serialization"))
 
 
 def partition_columns(df: DataFrame, table: str = "source_table", ts_ms: str = "ts_ms") -> DataFrame:

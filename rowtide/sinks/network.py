@@ -7,10 +7,12 @@ idempotency key, by which receivers drop repeats.
 from __future__ import annotations
 
 import json
+import posixpath
 import random
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import templates
+from ..schema import shared_folder
 
 
 class DeliveryError(Exception):
@@ -99,7 +102,8 @@ def message_headers(message: dict) -> dict[str, str]:
 
 
 def deliver(messages: DataFrame, factory: Callable[[], Client], order: list[str] | None = None, batch_size: int = 500) -> DataFrame:
-    """Sends all messages; returns those that failed for good, with an error column. A message of a key keeps its place."""
+    """Sends all messages, now and once; returns those that failed for good, with an error column. A message of a key keeps its place; those
+    without a key have none and are spread. Failures are written to the session's shared folder, so reading the result sends nothing again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory()
@@ -118,9 +122,41 @@ def deliver(messages: DataFrame, factory: Callable[[], Client], order: list[str]
         finally:
             client.close()
 
-    rows = messages.repartition("key").sortWithinPartitions("key", *(order or ["event_id"]))
+    rows = messages.repartition(F.coalesce("key", "event_id")).sortWithinPartitions("key", *(order or ["event_id"]))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kind}, error string")
+    failed = rows.mapInArrow(run, f"{kind}, error string")
+    base = shared_folder(messages.sparkSession)
+    if base is None:
+        failed = failed.persist()
+        failed.count()
+        return failed
+    path = posixpath.join(base, f"undelivered-{uuid.uuid4().hex}")
+    failed.write.parquet(path)
+    return messages.sparkSession.read.schema(failed.schema).parquet(path)
+
+
+@dataclass
+class Retrying:
+    """A client that tries again for as long as it takes, with a doubling delay; what fails for good isn't tried again."""
+
+    client: Client
+    pause: Callable[[float], None] = time.sleep
+
+    def send(self, messages: list[dict]) -> None:
+        attempt = 0
+        while True:
+            try:
+                return self.client.send(messages)
+            except DeliveryError as e:
+                if e.kind != "retry":
+                    raise
+            except OSError:
+                pass
+            self.pause(backoff(min(attempt, 16)))
+            attempt += 1
+
+    def close(self) -> None:
+        self.client.close()
 
 
 def write_kafka(messages: DataFrame, servers: str, **options: str) -> None:

@@ -128,20 +128,29 @@ def message_events(log: DataFrame, outbox_prefixes: Sequence[str] = ()) -> DataF
 
 #: Type ids of PostgreSQL.
 BOOL, BYTEA, JSON_OIDS, INT_OIDS, FLOAT_OIDS, NUMERIC = 16, 17, (114, 3802), (20, 21, 23, 26), (700, 701), 1700
+#: Words for truth values, in any case.
+TRUE_WORDS, FALSE_WORDS = ("t", "true", "1", "yes", "on"), ("f", "false", "0", "no", "off")
+_JSON_NUMBER = r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"
 
 
 def pg_json(oid: Column, text: Column) -> Column:
-    """JSON text of a value's text form by its type; an unchanged large value is `{"_unchanged": true}`."""
+    """JSON text of a value's text form by its type; an unchanged large value is `{"_unchanged": true}`.
+
+    What isn't a value of its type stays text. Floats that JSON has no number for are null.
+    """
     quoted = F.to_json(F.struct(text.alias("v")))
     as_string = F.substring(quoted, 6, F.length(quoted) - 6)
-    hexed = F.unhex(F.regexp_replace(text, r"^\\x", ""))
+    hexed = F.unhex(F.substring(text, 3, 1 << 30))
+    number = text.try_cast("double")
     return (
         F.when(text.isNull(), "null")
-        .when(oid == BOOL, F.when(text.isin("t", "true", "on", "1", "yes"), "true").otherwise("false"))
-        .when(oid.isin(*INT_OIDS) & text.try_cast("bigint").isNotNull(), text)
-        .when(oid.isin(*FLOAT_OIDS) & text.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), text)
+        .when(oid == BOOL, F.when(F.lower(text).isin(*TRUE_WORDS), "true").when(F.lower(text).isin(*FALSE_WORDS), "false").otherwise(as_string))
+        .when(oid.isin(*INT_OIDS) & text.rlike(r"^[+-]?\d+$") & text.try_cast("bigint").isNotNull(), text.try_cast("bigint").cast("string"))
+        .when(oid.isin(*FLOAT_OIDS) & text.rlike(_JSON_NUMBER), text)
+        .when(oid.isin(*FLOAT_OIDS) & text.rlike(r"(?i)^[+-]?(nan|inf|infinity)$"), "null")
+        .when(oid.isin(*FLOAT_OIDS) & text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), number.cast("string"))
         .when(oid.isin(*JSON_OIDS) & paths.image(text).isNotNull(), text)
-        .when(oid == BYTEA, F.concat(F.lit('{"_base64":"'), F.base64(hexed), F.lit('"}')))
+        .when((oid == BYTEA) & text.rlike(r"^\\x([0-9a-fA-F]{2})*$"), F.concat(F.lit('{"_base64":"'), F.base64(hexed), F.lit('"}')))
         .otherwise(as_string)
     )
 

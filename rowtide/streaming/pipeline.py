@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 Step = Callable[[DataFrame], DataFrame]
@@ -47,6 +49,55 @@ class Progress:
         os.replace(temporary, self.path)
 
 
+class SharedProgress(Progress):
+    """The same in a file wherever Spark can write, so that a driver on another machine finds it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.held = spark, path, {}
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._at, self._new, self._old = hadoop.Path(path), hadoop.Path(f"{path}.new"), hadoop.Path(f"{path}.old")
+        self._files = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for at in (self._at, self._old):  # between the two renames of a commit only the old file is there
+            if self._files.exists(at):
+                self.held = json.loads(self._read(at))
+                break
+
+    def _read(self, at) -> str:
+        stream = self._files.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def commit(self, pipeline: str, sink: str, batch: int) -> None:
+        self.held[f"{pipeline}/{sink}"] = batch
+        stream = self._files.create(self._new, True)
+        try:
+            stream.write(bytearray(json.dumps(self.held).encode()))
+        finally:
+            stream.close()
+        if self._files.exists(self._at):
+            self._files.delete(self._old, False)
+            self._files.rename(self._at, self._old)
+        self._files.rename(self._new, self._at)
+
+
+def _started(run: Callable[[], bool]) -> Future:
+    """Runs in a thread of its own that ends with the process, and that nobody has to wait for."""
+    job: Future = Future()
+
+    def body() -> None:
+        try:
+            job.set_result(run())
+        except BaseException as e:
+            job.set_exception(e)
+
+    thread = InheritableThread(target=body)
+    thread.daemon = True
+    thread.start()
+    return job
+
+
 class CommitError(Exception):
     pass
 
@@ -74,14 +125,18 @@ class Pipeline:
         return sum(acks.values()) >= self.quorum
 
     def run_batch(self, events: DataFrame, batch: int) -> dict[str, bool]:
-        """Every sink gets the same rows, at the same time. A sink that already has the batch is skipped. If the policy isn't met the batch
-        fails and comes again; sinks that took it keep their progress."""
+        """Every sink gets the same rows, at the same time. A sink that already has the batch is skipped, and one that isn't done by its
+        deadline has failed: its jobs are cancelled, and nothing waits for it. If the policy isn't met the batch fails and comes again, to all
+        sinks that hadn't committed it before."""
         frozen = self.transform(events).persist()
+        context = frozen.sparkSession.sparkContext
         errors: dict[str, Exception] = {}
+        tags = {s.id: f"sink-{uuid.uuid4().hex}" for s in self.sinks}
 
         def one(sink: Sink) -> bool:
             if self.progress.last(self.name, sink.id) >= batch:
                 return True
+            context.addJobTag(tags[sink.id])
             try:
                 bad = sink.write(sink.takes(frozen) if sink.takes else frozen, batch)
                 if bad is not None and self.dead_letters:
@@ -92,15 +147,15 @@ class Pipeline:
                 return False
 
         try:
-            with ThreadPoolExecutor(max(1, len(self.sinks))) as pool:
-                jobs = {s.id: pool.submit(one, s) for s in self.sinks}
-                ends = {s.id: time.monotonic() + s.deadline_s for s in self.sinks}
-                acks = {}
-                for sid, job in jobs.items():
-                    try:
-                        acks[sid] = job.result(timeout=max(0.0, ends[sid] - time.monotonic()))
-                    except TimeoutError as e:
-                        acks[sid], errors[sid] = False, e
+            ends = {s.id: time.monotonic() + s.deadline_s for s in self.sinks}
+            jobs = {s.id: _started(lambda s=s: one(s)) for s in self.sinks}
+            acks = {}
+            for sid, job in jobs.items():
+                try:
+                    acks[sid] = job.result(timeout=max(0.0, ends[sid] - time.monotonic()))
+                except TimeoutError as e:
+                    acks[sid], errors[sid] = False, e
+                    context.cancelJobsWithTag(tags[sid])
         finally:
             frozen.unpersist()
         if not self.committed(acks):

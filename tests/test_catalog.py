@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rowtide.plans import catalog
+from rowtide.plans import catalog, logs  # noqa: F401  (both register queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -1,15 +1,17 @@
 """Operators on small inputs: predicates' missing-value rules, flattening, outbox, user functions, registries, batches."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowtide.functions import coerce, paths, templates
 from rowtide.functions.types import ColumnInfo, TypeOptions, column_store_type, create_table, pg_name, spark_type
-from rowtide.operators import batching, progress, registry, sensing
+from rowtide.operators import batching, dlq, progress, registry, sensing
 from rowtide.operators.filter import EventFilter, Predicate
 from rowtide.operators.flatten import CollisionError, FlattenOptions, flatten_struct, flatten_value
+from rowtide.operators.numbering import row_numbers
 from rowtide.operators.outbox import OutboxOptions, outbox
 from rowtide.operators.udf import process_batch, route
 from rowtide.plans import spec
@@ -304,3 +306,88 @@ def test_dedup_and_current_state(spark):
     log = spark.createDataFrame([(1, "a", 1, 0), (1, "b", 2, 0), (2, "x", 5, 0), (2, "x", 6, 1)], "id int, v string, _version long, _deleted int")
     assert [tuple(r) for r in columnstore.current_state(log, ["id"]).select("id", "v").collect()] == [(1, "b")]
     assert columnstore.dedup_token("p", "s", log) == "p:s:1:4"
+
+
+def test_pg_values_that_are_not_of_their_type(spark):
+    cases = [(16, "TRUE", "true"), (16, "Off", "false"), (16, "maybe", '"maybe"'), (20, "+5", "5"), (20, "five", '"five"'), (701, "1.5e3", "1.5e3"), (701, ".5", "0.5"), (701, "-Infinity", "null"), (701, "x", '"x"'),
+             (17, r"\x6869", '{"_base64":"aGk="}'), (17, "hello", '"hello"'), (17, r"\x6", r'"\\x6"'), (114, '{"a":[1]}', '{"a":[1]}'), (114, "{a", '"{a"'), (1700, "1.10", '"1.10"'), (16, None, "null")]
+    rows = spark.createDataFrame(cases, "oid int, text string, want string")
+    for r in rows.select("*", ingest.pg_json(F.col("oid"), F.col("text")).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_dead_letters_take_two_kinds_and_are_numbered(spark):
+    e = events(spark.range(2000).withColumnRenamed("id", "n"), op=F.lit("c"), ts_ms=F.lit(0), event_id=F.lpad(F.col("n").cast("string"), 6, "0"), source=source_struct(db=F.lit("d")))
+    text = F.element_at(F.array(*map(F.lit, ("connection: refused", "routing: no topic", "serialization: bad", "auth: no"))), (F.col("event_id").cast("int") % 4 + 1))
+    got = dlq.entries(e.withColumn("error", text), "p", "s", F.lit(0), 10).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(11, 1011)) and [r.event_id for r in got] == sorted(r.event_id for r in got) and {r.error_kind for r in got} == {"routing", "serialization"}
+    known = dlq.entries(e.withColumns({"error": F.lit("auth: wrong type"), "error_kind": F.lit("serialization")}), "p", "s", F.lit(0))
+    assert known.count() == 2000
+
+
+def test_dead_letter_queue_policies(spark):
+    old, new = spark.range(1, 9).withColumnRenamed("id", "seq"), spark.range(9, 15).withColumnRenamed("id", "seq")
+    ids = lambda df: sorted(r.seq for r in df.collect())
+    assert [ids(x) for x in dlq.admit(old, new, 10)] == [list(range(5, 15)), [1, 2, 3, 4]]
+    assert [ids(x) for x in dlq.admit(old, new, 10, "reject")] == [list(range(1, 11)), [11, 12, 13, 14]]
+    with pytest.raises(dlq.QueueFull):
+        dlq.admit(old, new, 10, "block")
+    assert [ids(x) for x in dlq.admit(old, new, 14, "block")] == [list(range(1, 15)), []]
+
+
+def test_row_numbers(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id")).alias("v"), "id")
+    got = row_numbers(rows.repartition(7), ["k"], ["v", "id"]).collect()
+    for k in (0, 1):
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r.row_no)
+        assert [r.row_no for r in mine] == list(range(2500)) and [(r.v is not None, r.v or 0, r.id) for r in mine] == sorted((r.v is not None, r.v or 0, r.id) for r in mine)
+    assert row_numbers(rows.limit(0), [], ["id"]).count() == 0
+
+
+def test_delivery_sends_once(spark, tmp_path):
+    sent = str(tmp_path / "sent")
+    os.mkdir(sent)
+
+    class Counting:
+        """Leaves a byte for each message, and refuses a quarter of them."""
+
+        def send(self, messages):
+            for m in messages:
+                with open(f"{sent}/{os.getpid()}", "a") as f:
+                    f.write("x")
+                if int(m["event_id"]) % 4 == 0:
+                    raise network.DeliveryError("permanent", "refused")
+
+        def close(self):
+            pass
+
+    rows = spark.createDataFrame([(str(i), None if i % 2 else "k", "t", "{}") for i in range(40)], "event_id string, key string, topic string, value string")
+    failed = network.deliver(rows, Counting, batch_size=1)
+    assert failed.count() == 10 == len(failed.collect()) and sum(os.path.getsize(f"{sent}/{f}") for f in os.listdir(sent)) == 40
+
+
+def test_retries_go_on():
+    class Flaky:
+        left, sent = 9, []
+
+        def send(self, messages):
+            if self.left:
+                self.left -= 1
+                raise network.DeliveryError("retry", "busy") if self.left % 2 else OSError("reset")
+            self.sent += messages
+
+    client, pauses = Flaky(), []
+    network.Retrying(client, pauses.append).send([{"a": 1}])
+    assert client.sent == [{"a": 1}] and len(pauses) == 9
+    refused = type("Refused", (), {"send": lambda self, m: (_ for _ in ()).throw(network.DeliveryError("permanent", "no"))})()
+    with pytest.raises(network.DeliveryError):
+        network.Retrying(refused, pauses.append).send([])
+
+
+def test_avro_round_trip():
+    schema = avro.envelope_schema("E", [ColumnInfo("k", "bigint"), ColumnInfo("p", "double"), ColumnInfo("b", "boolean")])
+    value = {"after": {"k": -5, "p": 2.5, "b": True}, "op": "c", "ts_ms": 1, "source": {"db": "d"}}
+    back, end = avro.decode(schema, memoryview(data := avro.encode(schema, value)))
+    assert end == len(data) and back["after"] == value["after"] and back["before"] is None and back["source"]["db"] == "d"
+    many = {"type": "map", "values": ["null", {"type": "array", "items": ["null", "long"]}]}
+    assert avro.decode(many, memoryview(avro.encode(many, {"a": [1, None], "b": None, "c": []})))[0] == {"a": [1, None], "b": None, "c": []}

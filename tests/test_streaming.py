@@ -1,6 +1,7 @@
 """Pipelines and the sensor on file streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from rowtide.operators.filter import EventFilter
 from rowtide.schema import EVENT_SCHEMA, dedup, events, source_struct
 from rowtide.sources.ingest import read_event_stream
-from rowtide.streaming.pipeline import CommitError, Manager, Pipeline, Progress, Sink
+from rowtide.streaming.pipeline import CommitError, Manager, Pipeline, Progress, SharedProgress, Sink
 from rowtide.streaming.sensor import SensorOptions, SensorState, observe, sense
 
 
@@ -80,3 +81,17 @@ def test_sensor_stream(spark, tmp_path):
     q.awaitTermination()
     rows = spark.table("sensed").orderBy("event_id").collect()
     assert [r.outcome for r in rows] == ["NewSchema", "Unchanged", "Evolved"] and [r.schema_sequence for r in rows] == [1, 1, 2]
+
+
+def test_deadline_of_a_sink(spark, tmp_path):
+    done = []
+    sinks = [Sink("quick", lambda df, n: done.append(df.count()) and None), Sink("hung", lambda df, n: time.sleep(30), required=False, deadline_s=0.5)]
+    p = Pipeline("p", [], sinks, SharedProgress(spark, str(tmp_path / "p.json")))
+    write(spark, str(tmp_path / "in"), [(1, "{}", "u"), (2, "{}", "c")])
+    began = time.monotonic()
+    assert p.run_batch(spark.read.schema(EVENT_SCHEMA).parquet(str(tmp_path / "in")), 0) == {"quick": True, "hung": False}
+    assert time.monotonic() - began < 15 and done == [2]
+    again = SharedProgress(spark, str(tmp_path / "p.json"))
+    assert again.last("p", "quick") == 0 and again.last("p", "hung") == -1
+    again.commit("p", "hung", 4)
+    assert SharedProgress(spark, str(tmp_path / "p.json")).held == {"p/quick": 0, "p/hung": 4}
