@@ -1,12 +1,12 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Training: a bounded sample of labelled rows (at most `PER_LANG` a language, the least by a hash of their id, and `SAMPLE` in
-all), from which a fifth is set aside. Features are hashed character n-grams (1 to 3 characters of lower-cased text, with
+Training: a bounded sample of labelled rows (at most `PER_LANG` a language, the least by a hash of id and text, and `SAMPLE` in
+all, but one of each language at least), from which a fifth is set aside. Every label is a class. Features are hashed character n-grams (1 to 3 characters of lower-cased text, with
 runs of anything but letters as one blank) with TF-IDF weights of unit length. Follow-the-regularised-leader (FTRL-proximal)
 with elastic-net penalties learns one sparse weight vector a language; the set-aside fifth fits the temperature.
 
 Prediction: whole texts in Arrow batches, vectorised over a slice of documents; the model is a matrix of `2**BITS` rows and a
-column a language (at most `LANGS`), which is broadcast. No shuffle. Language, source and id are never inputs.
+column a language, which is broadcast. No shuffle. Language, source and id are never inputs.
 
 `und` with score 0 for texts that are null or have no letter. With no labelled rows everything is `und`. With one
 language, that one.
@@ -27,8 +27,8 @@ from .common import keep, pick, slices
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Labelled rows that are learnt from: at most so many a language, for at most so many languages (the commonest), and in all.
-PER_LANG, LANGS, SAMPLE = 400, 100, 8_000
+#: Labelled rows that are learnt from: at most so many a language, and in all (but one a language).
+PER_LANG, SAMPLE = 400, 8_000
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Letters of text that are featured at once.
@@ -166,21 +166,22 @@ def train(texts: list[bytes], labels: list[str], bits: int = BITS, epochs: int =
     return model
 
 
-def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, langs: int = LANGS, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """Learns from the rows of docs (doc_id, text, lang) where `learn` holds and lang and text aren't null.
 
     Languages are counted over all rows; a hash of id and text thins each to about four times its share before the exact cut, so no
-    task or the driver sees more than the bound.
+    task or the driver sees more than the bound. The row with the least hash is always taken, so that no language is lost where rows are equal.
     """
     rows = pick(docs, "doc_id", "text", "lang").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    rank = F.xxhash64("doc_id", "text")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least")).orderBy("lang").collect()
     if not counts:
         return None
     share = min(per_lang, max(1, sample // len(counts)))
-    rank = F.xxhash64("doc_id", F.octet_length("text"))
     bound = 1 << 20
-    chance = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1, 4 * (share + 16) / r["n"]) * bound)))))
-    thin = rows.withColumn("rank", rank).where(F.pmod("rank", F.lit(bound)) < F.coalesce(F.try_element_at(chance, F.col("lang")), F.lit(0)))
+    by_lang = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.struct(F.lit(int(min(1, 4 * (share + 16) / r["n"]) * bound)).alias("chance"), F.lit(r["least"]).alias("least")))))
+    own = F.try_element_at(by_lang, F.col("lang"))
+    thin = rows.withColumn("rank", rank).where((F.pmod("rank", F.lit(bound)) < own["chance"]) | (F.col("rank") == own["least"]))
     order = W.partitionBy("lang").orderBy("rank", "doc_id", "text")
     taken = thin.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share)
     found = sorted((r["rank"], r["text"], r["lang"]) for r in taken.select("rank", "text", "lang").collect())
