@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from functools import reduce
@@ -96,9 +97,11 @@ def keep(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a temporary one if all runs on this machine; else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="checkpoint")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each slice of documents (a shard of about 2 MB) becomes one sequence of word ids, over which a suffix array is
+Each slice of documents (a shard of about 4 MB) becomes one sequence of word ids, over which a suffix array is
 built by prefix doubling. Every test suffix is then binary-searched in it: the range of suffixes that begin with
 the suffix's first ten words gives all verbatim occurrences and their locations, and runs of occurrences on one
 diagonal (document position minus item position) give the longest verbatim match.
@@ -8,8 +8,10 @@ diagonal (document position minus item position) give the longest verbatim match
 Words that no item has can't take part in a match, so they get id 0, and a shard's array holds only the runs of
 known words that are long enough for some window; that drops no match.
 
-The items are a stated query set: they are broadcast in blocks of at most `block_bytes`, one pass over the
-documents per block, so nothing that is broadcast grows with either table. No shuffle is needed.
+The items are a stated query set: they are broadcast in blocks of about `block_bytes`, one pass over the documents per
+block. If there are several, each pass ends (its hits are written to the shared folder) and its broadcast is dropped before the next
+begins, so one block is held at a time, and what is broadcast grows with neither table. With one block no shuffle is needed; with
+several, the documents' hits are joined to them by id and text hash.
 
 Nulls have no words; so do empty texts. Items without words are ignored; items that share text each count.
 Repeated document rows each get their own result row. An empty benchmark leaves every document clean.
@@ -23,10 +25,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, Coded, encode_words, keep, pick, slices, words_of
+from .common import WORDS, Coded, cut, encode_words, keep, pick, slices, union, words_of
 
 WINDOW = 10
 #: Bytes of item text in one broadcast block.
@@ -177,7 +179,7 @@ def _merged(spans: list[int]) -> list[int]:
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, docs in slices(batches):
         spans, names, longest = (c.to_pylist() for c in keep(batch, ["spans", "items", "longest"]))
-        names = [sorted(set(x)) for x in names]
+        names, spans = [sorted(set(x)) for x in names], [_merged(s) for s in spans]
         hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
         yield pa.RecordBatch.from_arrays(
             [
@@ -193,25 +195,52 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of about `block_bytes` at most; one block is on the driver at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, bytes]]]]:
+    """How many blocks of about `block_bytes` the items are, and these; one block is on the driver at a time."""
     items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    for k in range(blocks := -(-size // block_bytes)):
-        yield sorted((r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
+    blocks = -(-size // block_bytes)
+    return blocks, (sorted((r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()) for k in range(blocks))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    state = pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long"),
-        F.col("text").cast("string"),
+def _state(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        "text",
         F.array().cast("array<long>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
         F.array(F.lit(0), F.lit(-1), F.lit(-1)).cast("array<long>").alias("longest"),
     )
-    for rows in _blocks(benchmark, block_bytes):
-        state = state.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(rows), window), _STATE)
-    return state
+
+
+def _hits(docs: DataFrame, blocks: Iterator[list[tuple[int, bytes]]], window: int) -> DataFrame:
+    """Per document with hits (hit_id, hit_key): spans, items and longest match over all blocks, one pass after another."""
+    found: list[DataFrame] = []
+    for rows in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        hit = _state(docs).mapInArrow(_scan(shared, window), _STATE).where(F.size("spans") > 0)
+        found.append(cut(hit.select(F.col("doc_id").alias("hit_id"), F.xxhash64("text").alias("hit_key"), "spans", "items", "longest")))
+        shared.destroy()
+    best = F.max(F.struct(F.col("longest")[0].alias("n"), (-F.col("longest")[1]).alias("item"), (-F.col("longest")[2]).alias("start"))).alias("b")
+    merged = union(found).groupBy("hit_id", "hit_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best)
+    return merged.select("hit_id", "hit_key", "spans", "items", F.array(F.col("b.n"), -F.col("b.item"), -F.col("b.start")).alias("longest"))
+
+
+def _of_hit() -> Column:
+    return F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hit_key"))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n, blocks = _blocks(benchmark, block_bytes)
+    if n < 2:
+        state = _state(plain)
+        for rows in blocks:
+            state = state.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(rows), window), _STATE)
+        return state
+    joined = plain.join(_hits(plain, blocks, window), _of_hit(), "left")
+    clean = {"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>"), "longest": F.array(F.lit(0), F.lit(-1), F.lit(-1)).cast("array<long>")}
+    return joined.select("doc_id", "text", *(F.coalesce(c, v).alias(c) for c, v in clean.items()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -224,9 +253,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def clean_texts(docs: DataFrame, benchmark: DataFrame, columns: list[str], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The named columns (text among them) of the documents in which no window occurs."""
-    packed = pick(docs, *columns).select(F.col("text"), F.struct(*columns).alias("row"))
-    for rows in _blocks(benchmark, block_bytes):
+    """The named columns (doc_id and text among them) of the documents in which no window occurs."""
+    n, blocks = _blocks(benchmark, block_bytes)
+    named = pick(docs, *columns)
+    if n > 1:
+        plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        hit = _hits(plain, blocks, window).select("hit_id", "hit_key")
+        rows = named.select(F.struct(*columns).alias("row"), F.col("doc_id"), F.col("text"))
+        return rows.join(hit, _of_hit(), "left_anti").select("row.*")
+    packed = named.select(F.col("text"), F.struct(*columns).alias("row"))
+    for rows in blocks:
         packed = packed.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(rows), window), packed.schema)
     return packed.select("row.*")
 
