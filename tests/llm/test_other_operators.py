@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,7 +62,48 @@ def test_extraction_rows(spark):
 
 def test_extraction_weights():
     w = html.weights()
-    assert w["plain"] > 0 and w["away"] < 0 and all(v < 0 for k, v in w.items() if k.startswith("<"))
+    assert all(v < 0 for v in w.tag.values()) and w.other_tag < 0
+    assert w.odds(frozenset(("<article", "<p"))) > 0 > w.odds(frozenset(("<nav", "<a"))) and w.odds(frozenset((".comments", "<p", "beside"))) < 0
+
+
+def test_extraction_on_held_out_labelled_pages():
+    right = found = true = 0
+    for page in html.labelled(150, 9):
+        want, got = Counter(), Counter(html.extract(page.replace(html.MARK, "")).split())
+        for t in html.tokens(page):
+            if html.MARK in t.text:
+                want.update(html._html.unescape(t.text.replace(html.MARK, "")).split())
+        right, found, true = right + (want & got).total(), found + got.total(), true + want.total()
+    assert right / found >= 0.98 and right / true >= 0.98
+
+
+def test_extraction_best_stretch_against_brute_force():
+    rng = random.Random(2)
+    for n in [0, 1, 2, *range(3, 40)]:
+        scores = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(n)]
+        first, last = html.best_stretch(scores)
+        assert sum(scores[first:last]) == max([0, *(sum(scores[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (
+            '<article><h1>Title here</h1><p class="note meta">By law, the court held that the notice is void.</p><p>More words follow in this article of ours.</p></article>',
+            "Title here\nBy law, the court held that the notice is void.\nMore words follow in this article of ours.",
+        ),
+        ('<article><p>Some words of an article.</p><div class="legal">The legal part of it.</div><div class="side-by-side">Two columns of words.</div></article>', "Some words of an article.\nThe legal part of it.\nTwo columns of words."),
+        ('<body><div class=content><h1>A title</h1><p>Some words of a story.</p></div><div class="ftr">Copyright 2020 Foo Inc all rights reserved by them</div></body>', "A title\nSome words of a story."),
+        ("<main><h1>One</h1><article><p>First part.</p></article><article><p>Second part.</p></article></main>", "One\nFirst part.\nSecond part."),
+        ('<article><p>Before it.</p><div class="advert">' + "Buy this now. " * 200 + "</div><p>After it.</p></article>", "Before it.\nAfter it."),
+    ],
+)
+def test_extraction_of_content_with_marked_elements(page, want):
+    assert html.extract(page) == want
+
+
+def test_extraction_empty_table(spark):
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 # -- chats ------------------------------------------------------------------------------------------------------------
