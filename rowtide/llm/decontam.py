@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each slice of documents (a shard of about 4 MB) becomes one sequence of word ids, over which a suffix array is
+Each slice of documents (a shard of about 2 MB) becomes one sequence of word ids, over which a suffix array is
 built by prefix doubling. Every test suffix is then binary-searched in it: the range of suffixes that begin with
 the suffix's first ten words gives all verbatim occurrences and their locations, and runs of occurrences on one
 diagonal (document position minus item position) give the longest verbatim match.
@@ -33,6 +33,8 @@ from .common import WORDS, Coded, cut, encode_words, keep, pick, slices, union,
 WINDOW = 10
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of document text in one shard.
+SHARD_BYTES = 2 << 20
 RESULT = (
     "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "longest_match long, longest_item long, longest_start long"
@@ -151,7 +153,7 @@ def _scan(shared, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value, window)
-        for batch, docs in slices(batches):
+        for batch, docs in slices(batches, limit=SHARD_BYTES):
             spans, names, longest = (c.to_pylist() for c in keep(batch, ["spans", "items", "longest"]))
             for i, (more, found, best) in enumerate(items.hits(encode_words(docs, WORDS))):
                 if more:
@@ -270,7 +272,7 @@ def clean_texts(docs: DataFrame, benchmark: DataFrame, columns: list[str], windo
 def _drop(shared, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value, window)
-        for batch, docs in slices(batches):
+        for batch, docs in slices(batches, limit=SHARD_BYTES):
             yield batch.filter(pa.array([not spans for spans, _, _ in items.hits(encode_words(docs, WORDS))], pa.bool_()))
 
     return run

@@ -34,7 +34,7 @@ END_ID = 0
 #: Pieces that one task packs.
 SHARD_PIECES = 20_000
 #: Words or parts of words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_key long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -152,7 +152,7 @@ def pieces_of(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids_of, end = _word_ids(path), np.array([end_id], "<u4").tobytes()
-        for batch, docs in slices(batches, limit=8 << 20):
+        for batch, docs in slices(batches):
             out: list[list[int]] = [[] for _ in range(6)]
             ids, keys = (c.to_pylist() for c in keep(batch, ["doc_id", "row_key"]))
             for doc_id, key, data in zip(ids, keys, ids_of(docs)):
