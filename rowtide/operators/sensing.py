@@ -9,14 +9,18 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .numbering import held
+
 STABLE_FREQUENCY, MIN_DYNAMIC, MIN_CONFIDENCE, MIN_EVENTS = 0.5, 5, 0.7, 100
 TOP_KEYS, SAMPLE_KEYS = 50, 50
 MAX_SCHEMA_DEPTH = 10
@@ -46,11 +50,43 @@ def key_fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(F.json_object_keys(text)), "\x01"), 256), 1, 16)
 
 
+def _changes(table: list[str], fp: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to sorted rows whether each one's structure differs from the row's before it in its table; null for the first of a table in this partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        last = None
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*table, fp)]
+            out: list[int | None] = []
+            for *now, value in zip(*columns):
+                out.append(None if tuple(now) != key else int(value != last))
+                key, last = tuple(now), value
+            yield batch.append_column("_changed", pa.array(out, pa.int32()))
+
+    return run
+
+
 def evolution(rows: DataFrame, table: list[str], order: list[str], fp: str) -> DataFrame:
-    """Rows with `schema_sequence`: 1 for a table's first structure, and one more at each change from the event before."""
-    w = W.partitionBy(*table).orderBy(*order)
-    changed = F.when(F.lag(fp).over(w).eqNullSafe(F.col(fp)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return rows.withColumn("_changed", changed).withColumn("schema_sequence", F.sum("_changed").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_changed")
+    """Rows with `schema_sequence`: 1 for a table's first structure, and one more at each change from the event before.
+
+    Rows are dealt to sorted ranges of table and order, so a table with very many events is many tasks. Of each range and table only the
+    first and last structure and the number of changes are compared with those of the ranges before.
+    """
+    ranged = rows.repartitionByRange(*table, *order).sortWithinPartitions(*table, *order).withColumn("_range", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_changed", T.IntegerType())])
+    placed = held(ranged.mapInArrow(_changes(table, fp), schema).withColumn("_at", F.monotonically_increasing_id()))
+    parts = placed.groupBy("_range", *table).agg(F.sum(F.coalesce("_changed", F.lit(0))).alias("_n"), F.min_by(F.struct(fp), "_at").alias("_first"), F.max_by(F.struct(fp), "_at").alias("_last"))
+    w = W.partitionBy(*table).orderBy("_range")
+    starts = F.when(F.lag("_last").over(w).eqNullSafe(F.col("_first")), 0).otherwise(1)  # 1 also for a table's very first row
+    counted = parts.withColumn("_starts", starts).withColumn("_before", F.coalesce(F.sum(F.col("_n") + F.col("_starts")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_starts"))
+    offsets = counted.select(F.col("_range").alias("_of"), "_before", *(F.col(c).alias(f"_key_{i}") for i, c in enumerate(table)))
+    same = F.col("_range") == F.col("_of")
+    for i, c in enumerate(table):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{i}"))
+    within = W.partitionBy("_range", *table).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    numbered = placed.withColumn("_sum", F.sum(F.coalesce("_changed", F.lit(0))).over(within))
+    return numbered.join(offsets, same).select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_sum") + F.col("_before")).alias("schema_sequence"))
 
 
 def key_counts(rows: DataFrame, path: str, keys: Column) -> DataFrame:

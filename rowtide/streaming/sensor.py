@@ -5,12 +5,15 @@ State is a table's fingerprint, sequence, event count and a bounded set of known
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sensing import fingerprint_of
@@ -25,7 +28,7 @@ class SensorOptions:
     warm_up: int = 1_000  #: events that are all observed
     every: int = 10  #: after that, one in so many
     stabilise_at: int = 1_000  #: observations without a change
-    cache: int = 100  #: known structures
+    cache: int = 0  #: top-level structures that are kept to be passed over; 0: none
 
 
 @dataclass
@@ -44,23 +47,41 @@ def observe(state: SensorState, text: str | None, options: SensorOptions) -> str
     state.count += 1
     if state.unchanged >= options.stabilise_at:
         return "Stabilized"
+    value = None
+    if options.cache:
+        value = json.loads(text) if text is not None else None
+        top = top_structure(value)
+        if top in state.known:
+            state.unchanged += 1
+            return "CacheHit"
+        if len(state.known) < options.cache:  # a full cache takes no more until the schema changes
+            state.known = (*state.known, top)
     if state.count > options.warm_up and (state.count - options.warm_up) % options.every:
         return "Sampled"
-    value = json.loads(text) if text is not None else None
+    if not options.cache:
+        value = json.loads(text) if text is not None else None
     fp = fingerprint_of(value)
     if state.fingerprint is None:
-        state.fingerprint, state.sequence, state.known = fp, 1, (fp,)
+        state.fingerprint, state.sequence = fp, 1
         return "NewSchema"
     if fp == state.fingerprint:
         state.unchanged += 1
-        return "CacheHit" if fp in state.known and state.unchanged > 1 else "Unchanged"
-    state.fingerprint, state.sequence, state.unchanged, state.known = fp, state.sequence + 1, 0, (fp,)
+        return "Unchanged"
+    state.fingerprint, state.sequence, state.unchanged, state.known = fp, state.sequence + 1, 0, ()
     return "Evolved"
 
 
+def top_structure(value: Any) -> str:
+    """The kinds of an object's values by key, not going deeper."""
+    kind = {type(None): "null", bool: "bool", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+    if not isinstance(value, dict):
+        return kind[type(value)]
+    return hashlib.sha256(json.dumps([(k, kind[type(value[k])]) for k in sorted(value)]).encode()).hexdigest()[:16]
+
+
 class Sensor(StatefulProcessor):
-    def __init__(self, options: SensorOptions) -> None:
-        self.options = options
+    def __init__(self, options: SensorOptions, keep: bool = False) -> None:
+        self.options, self.keep = options, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("table", _STATE)
@@ -74,8 +95,8 @@ class Sensor(StatefulProcessor):
             out = []
             for row in part.sort_values(["ts_ms", "event_id"]).itertuples():
                 outcome = observe(held, row.after, self.options)
-                out.append((key[0], row.event_id, outcome, held.fingerprint, held.sequence, held.count))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+                out.append((key[0], row.event_id, outcome, held.fingerprint, held.sequence, held.count, *([row.event] if self.keep else [])))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")] + ["event"] * self.keep)
         self.state.update((held.fingerprint, held.sequence, held.count, held.unchanged, json.dumps(held.known)))
 
     def close(self) -> None:
@@ -86,3 +107,13 @@ def sense(events: DataFrame, options: SensorOptions = SensorOptions()) -> DataFr
     """Outcomes for a stream of events; within a micro-batch and table in the order of time and id."""
     rows = events.selectExpr("concat_ws('.', source.db, source.table) AS tbl", "event_id", "ts_ms", "after")
     return rows.groupBy("tbl").transformWithStateInPandas(statefulProcessor=Sensor(options), outputStructType=RESULT, outputMode="Append", timeMode="None")
+
+
+def enrich(events: DataFrame, options: SensorOptions = SensorOptions()) -> DataFrame:
+    """The stream's events with schema_version (the fingerprint) and schema_sequence of their table as sensed; other columns stay."""
+    whole = events.select(F.concat_ws(".", "source.db", "source.table").alias("tbl"), "event_id", "ts_ms", "after", F.struct(*(F.col(f"`{c}`") for c in events.columns)).alias("event"))
+    kind = events.schema.simpleString()
+    found = whole.groupBy("tbl").transformWithStateInPandas(statefulProcessor=Sensor(options, keep=True), outputStructType=f"{RESULT}, event {kind}", outputMode="Append", timeMode="None")
+    out = found.select("event.*", F.col("fingerprint").alias("_fingerprint"), F.col("schema_sequence").alias("_sequence"))
+    sensed = {"schema_version": F.col("_fingerprint"), "schema_sequence": F.col("_sequence")}
+    return out.select(*(sensed.get(c, F.col(f"`{c}`")).alias(c) for c in events.columns))

@@ -391,3 +391,14 @@ def test_avro_round_trip():
     assert end == len(data) and back["after"] == value["after"] and back["before"] is None and back["source"]["db"] == "d"
     many = {"type": "map", "values": ["null", {"type": "array", "items": ["null", "long"]}]}
     assert avro.decode(many, memoryview(avro.encode(many, {"a": [1, None], "b": None, "c": []})))[0] == {"a": [1, None], "b": None, "c": []}
+
+
+def test_evolution_across_ranges(spark):
+    rows = [(k, i, "abc"[(i // 7 + i // 50) % 3] if i % 11 else None) for k in ("x", "y") for i in range(600)]
+    got = sensing.evolution(spark.createDataFrame(rows, "k string, i int, fp string").repartition(5), ["k"], ["i"], "fp").collect()
+    for k in ("x", "y"):
+        want, last, n = [], object(), 0
+        for _, _, fp in [r for r in rows if r[0] == k]:
+            n, last = n + (fp != last), fp
+            want.append(n)
+        assert [r.schema_sequence for r in sorted((r for r in got if r.k == k), key=lambda r: r.i)] == want

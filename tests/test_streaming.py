@@ -10,7 +10,7 @@ from rowtide.operators.filter import EventFilter
 from rowtide.schema import EVENT_SCHEMA, dedup, events, source_struct
 from rowtide.sources.ingest import read_event_stream
 from rowtide.streaming.pipeline import CommitError, Manager, Pipeline, Progress, SharedProgress, Sink
-from rowtide.streaming.sensor import SensorOptions, SensorState, observe, sense
+from rowtide.streaming.sensor import SensorOptions, SensorState, enrich, observe, sense
 
 
 def write(spark, path, rows, mode="append"):
@@ -95,3 +95,26 @@ def test_deadline_of_a_sink(spark, tmp_path):
     assert again.last("p", "quick") == 0 and again.last("p", "hung") == -1
     again.commit("p", "hung", 4)
     assert SharedProgress(spark, str(tmp_path / "p.json")).held == {"p/quick": 0, "p/hung": 4}
+
+
+def test_structure_cache():
+    o = SensorOptions(cache=2)
+    s = SensorState()
+    texts = ('{"a":1}', '{"a":2}', '{"a":2.5}', '{"a":"x"}', '{"a":"y"}', '{"a":"z"}', '{"a":{"b":1}}', '{"a":{"b":2}}', '{"a":{"b":"deep"}}')
+    got = [observe(s, t, o) for t in texts]
+    # a change empties the cache, so the next event of the new structure is looked at again; a change below the top level is passed over
+    assert got == ["NewSchema", "CacheHit", "CacheHit", "Evolved", "Unchanged", "CacheHit", "Evolved", "Unchanged", "CacheHit"] and s.sequence == 3
+    full = SensorState()
+    for k in range(4):
+        observe(full, json.dumps({f"k{k}": 1}), SensorOptions(cache=2))
+    assert len(full.known) <= 2
+
+
+def test_events_with_what_was_sensed(spark, tmp_path):
+    src = str(tmp_path / "in")
+    write(spark, src, [(1, '{"a":1}', "c"), (2, '{"a":2}', "c"), (3, '{"a":"x"}', "c")])
+    q = enrich(read_event_stream(spark, src)).writeStream.format("memory").queryName("enriched").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.table("enriched").orderBy("event_id").collect()
+    assert [r.schema_sequence for r in rows] == [1, 1, 2] and rows[0].schema_version == rows[1].schema_version != rows[2].schema_version
+    assert [r.after for r in rows] == ['{"a":1}', '{"a":2}', '{"a":"x"}'] and rows[0].source.db == "d"
