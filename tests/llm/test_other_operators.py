@@ -147,6 +147,22 @@ def test_chats_empty(spark):
         assert chat.unescape(chat.escape(s)) == s and chat.unescape_role(chat.escape_role(s)) == s and "<|" not in chat.escape(s)
 
 
+def test_chats_query_with_clashing_columns(spark, tmp_path):
+    from rowtide.llm import queries
+
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn long, role string, text string").withColumnRenamed("role", "Role")
+    table = rows.toArrow().append_column("TEXT", [["x", "y"]]).append_column("n_turns", [[7, 7]])
+    import pyarrow.parquet as pq
+
+    pq.write_table(table.rename_columns(["conv_id", "turn", "role", "text", "TEXT", "n_turns"]), f"{tmp_path}/conversations.parquet")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op2_chat_formatting(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+    assert got == {1: (2, 2), -1: (2, len(queries.HOSTILE))}
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------
 
 
@@ -218,6 +234,13 @@ def test_packing_full_pieces_leave_first(spark):
     assert sum(r.length for r in rows) == 3 * 1001 + 2 and sorted(r.offset for r in rows if r.length < 10) == [0, 1, 2, 3, 4]
 
 
+def test_packing_very_long_text(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "word " * 300_000), (2, None)], SCHEMA), P.path("word_bpe_49k.json"), shard_pieces=10).collect()
+    mine = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece)
+    assert sum(r.length for r in mine) == 300_001 and all(r.length == 2048 for r in mine[:-1]) and [r.start for r in mine] == list(range(0, 300_001, 2048))
+    assert len({r.sequence_id for r in mine}) == len(mine) and {r.sequence_id for r in rows if r.doc_id == 2} <= {mine[-1].sequence_id}
+
+
 def test_packing_edges(spark):
     path = P.path("word_bpe_49k.json")
     assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
@@ -430,3 +453,19 @@ def test_pipeline_decisions(spark, tmp_path):
     assert sorted(r.doc_id for r in c.decontamination(spark, three, str(tmp_path)).collect()) == [0, 3, 7, 7]
     assert c.near_duplicates(spark, df.where("doc_id = 0").union(df.where("doc_id = 0")), "").count() == 1
     assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} == {0, 3, 7}
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as c
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    assert c.run(spark, str(tmp_path / "empty")).count() == 0
+    text = " ".join(f"thoring{k} wicked" for k in range(60))
+    more = f"{kind}, row_key string, lang_pred int, hit_id string, spans int, marks long"
+    df = spark.createDataFrame([(1, text, "en", "s", len(text), "x", 1, "y", 2, 3), (2, None, None, None, None, None, None, None, None, None)], more)
+    items = spark.createDataFrame([(1, "quite another text of words")], "item_id long, text string")
+    df.write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "more" / "benchmark.parquet"))
+    assert {r.doc_id for r in c.run(spark, str(tmp_path / "more")).collect()} == {1}

@@ -399,6 +399,15 @@ def test_decontamination_longest_match_and_edges(spark):
     assert [r.doc_id for r in decontam.clean_texts(extra, bench, ["doc_id", "text", "spans"]).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_decontamination_in_passes_drops_the_same_texts(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(12)]
+    rows = [(d, " ".join([f"d{d}a", *(items[d % 12][1].split()[5:17] if d % 3 == 0 else []), f"d{d}b"])) for d in range(40)] + [(99, None), (3, "plain text"), (3, "plain text")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = [sorted((r.doc_id, r.text or "") for r in decontam.clean_texts(docs_of(spark, rows), bench, ["doc_id", "text"], 10, size).collect()) for size in (1 << 20, 700)]
+    assert kept[0] == kept[1] == sorted((d, t or "") for d, t in rows if d % 3 or t in (None, "plain text"))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 300):
