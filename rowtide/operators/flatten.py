@@ -78,11 +78,33 @@ def flatten_value(value: Any, options: FlattenOptions) -> Any:
     return out
 
 
+def _plain(value: Any, separator: str) -> Any:
+    """flatten_value under the default options, which keep lists, empty objects and the last of two values."""
+    if not isinstance(value, dict):
+        return value
+    out: dict[str, Any] = {}
+
+    def walk(head: str, inner: dict[str, Any]) -> None:
+        for name in sorted(inner):
+            leaf = inner[name]
+            if type(leaf) is dict and leaf:
+                walk(f"{head}{name}{separator}", leaf)
+            else:
+                out[head + name] = leaf
+
+    walk("", value)
+    return out
+
+
 def _flattener(options: FlattenOptions):
+    plain = options == FlattenOptions(separator=options.separator)
+    write = json.JSONEncoder(ensure_ascii=False, check_circular=False, separators=(",", ":")).encode
+
     def one(text: str | None) -> str | None:
         if text is None or "{" not in text[1:] and "[" not in text:  # a flat object already
             return text
-        return json.dumps(flatten_value(json.loads(text), options), separators=(",", ":"), ensure_ascii=False)
+        value = json.loads(text)
+        return write(_plain(value, options.separator) if plain else flatten_value(value, options))
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:

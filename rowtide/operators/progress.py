@@ -28,6 +28,14 @@ def min_checkpoint(checkpoints: DataFrame, source: str = "source_id") -> DataFra
     return checkpoints.groupBy(source).agg(F.min_by(F.struct("file", "pos"), order).alias("at"), F.count(F.lit(1)).alias("sinks")).select(source, "at.file", "at.pos", "sinks")
 
 
+def reachable(checkpoints: DataFrame, logs: DataFrame, source: str = "source_id", file: str = "file") -> DataFrame:
+    """Checkpoints (source_id, file) with whether the source still has that log file (logs: source_id, file). A source that lists none isn't judged."""
+    listed = logs.groupBy(source).agg(F.count(F.lit(1)).alias("_listed"))
+    there = logs.select(source, file).distinct().withColumn("_there", F.lit(True))
+    out = checkpoints.join(listed, source, "left").join(there, [source, file], "left")
+    return out.withColumn("reachable", F.col("_listed").isNull() | F.col("_there").isNotNull()).drop("_listed", "_there")
+
+
 def committed(acks: DataFrame, policy: str, quorum: int | None = None) -> DataFrame:
     """By batch whether it may be committed (batch_id, sink_id, required, acked). all: every sink; required: every required one; quorum: so many."""
     ok = F.count_if("acked")

@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import ROUTING
 
 
-def process_batch(events: DataFrame, user: Callable[[list[dict[str, Any]]], Any], batch_size: int = 2_000) -> DataFrame:
+#: Where an event's other columns are, in the dictionaries of a function that reads some columns only.
+ROW = "_row"
+
+
+def process_batch(events: DataFrame, user: Callable[[list[dict[str, Any]]], Any], batch_size: int = 2_000, columns: Sequence[str] | None = None) -> DataFrame:
     """`user` gets a list of event dictionaries. A list replaces the batch, a dictionary stands for one event, None means that the
-    given (perhaps changed) list goes on; anything else, or an exception, fails the job. Numbers stay as they are."""
-    schema = events.schema
+    given (perhaps changed) list goes on; anything else, or an exception, fails the job. Numbers stay as they are.
+
+    With `columns` the dictionaries have these only, so that the others needn't become Python objects: they go with the event, by its `_row`,
+    and are null for events that the function makes anew. What it returns beyond these columns is ignored.
+    """
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema])  # the function may leave out any column
     arrow = to_arrow_schema(schema)
+    some = list(columns) if columns is not None else None
+
+    def rejoined(part: pa.RecordBatch, rows: list[dict[str, Any]]) -> pa.RecordBatch:
+        at = pa.array([r.get(ROW) for r in rows], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) if f.name in some else part.column(f.name).take(at).cast(f.type) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
-                given = batch.slice(start, batch_size).to_pylist(maps_as_pydicts="strict")
+                part = batch.slice(start, batch_size)
+                given = (part if some is None else part.select(some)).to_pylist(maps_as_pydicts="strict")
+                for k, e in enumerate(given if some is not None else ()):
+                    e[ROW] = k
                 made = user(given)
                 rows = given if made is None else [made] if isinstance(made, dict) else made
                 if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
                     raise TypeError(f"the batch function returned {type(made).__name__}, not events")
-                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], arrow)
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], arrow) if some is None else rejoined(part, rows)
 
     return events.mapInArrow(run, schema)
 

@@ -301,7 +301,7 @@ def _double_values(batch: list[dict]) -> list[dict]:
 
 @query("SELECT event_id, value * 2 AS value, 't-' || event_type AS topic FROM events WHERE event_type <> 'error'")
 def udf_process_batch(spark: SparkSession, d: str) -> DataFrame:
-    e = process_batch(click_events(spark, d), _double_values)
+    e = process_batch(click_events(spark, d), _double_values, columns=("after", "routing"))
     return e.select(F.col("event_id").cast("bigint").alias("event_id"), double("value").alias("value"), F.col("routing.topic").alias("topic"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, paths
 from ..functions.types import ColumnInfo
-from ..operators import batching, dlq, sensing
+from ..operators import batching, dlq, progress, sensing
 from ..operators.filter import EventFilter
 from ..operators.flatten import FlattenOptions, flatten
 from ..operators.outbox import capture
@@ -97,6 +97,28 @@ def page_ranges(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in made], "predicate string")
 
 
+@query(
+    "SELECT 's' || n_regionkey AS table_schema, n_name AS table_name FROM nation WHERE (n_regionkey = 1 AND n_name LIKE 'A%') OR n_name = 'CHINA' OR n_name LIKE 'I%_A' OR (n_regionkey = 3 AND n_name LIKE '_U%')"
+)
+def catalog_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns over a catalog with a view and a system table of each name besides the table."""
+    name = F.col("n_name").alias("table_name")
+    rows = table(spark, d, "nation")
+    base = rows.select(F.concat(F.lit("s"), F.col("n_regionkey")).alias("table_schema"), name, F.lit("BASE TABLE").alias("table_type"))
+    other = base.withColumn("table_type", F.lit("VIEW")).union(rows.select(F.lit("sys").alias("table_schema"), name, F.lit("BASE TABLE").alias("table_type")))
+    return ingest.catalog_tables(base.union(other), ("s1.A%", "CHINA", "%.I%_A", "s3._U%"))
+
+
+@query("SELECT s_suppkey, s_nationkey % 5 = 0 OR s_suppkey % 10 < 5 AS reachable FROM supplier")
+def retention_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints of sources of which some list the newer half of their log files, and some list none."""
+    k = F.col("s_suppkey") % 10
+    file = lambda n: F.concat(F.lit("binlog.00000"), n)
+    points = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("source_id"), file(k).alias("file"))
+    logs = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("source_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")).select("source_id", file(F.col("n")).alias("file"))
+    return progress.reachable(points, logs).select("s_suppkey", "reachable")
+
+
 # -- values -------------------------------------------------------------------------------------------------------------
 
 _WORDS = ("TRUE", "off", "maybe", "T", "No")

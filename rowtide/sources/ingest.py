@@ -65,6 +65,29 @@ def page_predicates(pages: int, chunk_rows: int = 10_000) -> list[str]:
     return [f"ctid >= '({a},0)'::tid AND ctid < '({a + step},0)'::tid" for a in range(0, max(pages, 1), step)]
 
 
+#: Schemas of the server itself, which a pattern for any schema leaves out.
+SYSTEM_SCHEMAS = ("mysql", "information_schema", "performance_schema", "sys")
+
+
+def _like(pattern: str, value: Column, any_value: Column) -> Column:
+    if pattern in ("*", "%"):
+        return any_value
+    return value.like(pattern) if "%" in pattern or "_" in pattern else value == pattern
+
+
+def catalog_tables(catalog: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """The base tables of a server's catalog (table_schema, table_name, table_type) that a pattern names, once each.
+
+    `schema.table` or `table`; `%` and `_` anywhere are wildcards as in LIKE, and `*` alone is any. Unlike filters' patterns, as the server evaluates these.
+    """
+    wanted = F.lit(False)
+    for p in patterns:
+        left, dot, right = p.partition(".")
+        schema, name = (left, right) if dot else ("%", left)
+        wanted = wanted | (_like(schema, F.col("table_schema"), ~F.col("table_schema").isin(*SYSTEM_SCHEMAS)) & _like(name, F.col("table_name"), F.lit(True)))
+    return catalog.where((F.col("table_type") == "BASE TABLE") & wanted).select("table_schema", "table_name").distinct()
+
+
 # -- logs ---------------------------------------------------------------------------------------------------------------
 
 

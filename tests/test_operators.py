@@ -402,3 +402,23 @@ def test_evolution_across_ranges(spark):
             n, last = n + (fp != last), fp
             want.append(n)
         assert [r.schema_sequence for r in sorted((r for r in got if r.k == k), key=lambda r: r.i)] == want
+
+
+def test_batch_function_of_some_columns(spark):
+    e = make(spark, [(None, {"v": k}) for k in range(10)])
+
+    def change(batch):
+        assert all(set(r) == {"after", "op", "_row"} for r in batch)
+        kept = [r | {"after": json.dumps({"v": -json.loads(r["after"])["v"]})} for r in batch if json.loads(r["after"])["v"] % 2]
+        return kept + [{"after": '{"v":100}', "op": "c"}]
+
+    whole = {r.after: r for r in process_batch(e.coalesce(1), change, columns=("after", "op")).collect()}
+    assert set(whole) == {'{"v": -1}', '{"v": -3}', '{"v": -5}', '{"v": -7}', '{"v": -9}', '{"v":100}'}
+    assert whole['{"v": -3}'].event_id == "3" and whole['{"v": -3}'].source.db == "shop" and whole['{"v":100}'].event_id is None and whole['{"v":100}'].source is None
+
+
+@pytest.mark.parametrize("value", [{"b": {"z": 1, "a": {}}, "a": [1, {"x": 2}], "b__z": 3, "c": {"d": {"e": None}}, "n": 1.5, "t": "é"}, [1], "x", {}, {"": {"": 1}}])
+def test_flatten_without_options_is_the_general_one(value):
+    from rowtide.operators.flatten import _plain
+
+    assert _plain(value, "__") == flatten_value(value, FlattenOptions()) and (not isinstance(value, dict) or list(_plain(value, "__")) == list(flatten_value(value, FlattenOptions())))
