@@ -148,6 +148,17 @@ def walk(value: Any, path: str, depth: int = 0, stable: dict[str, list[str]] | N
     return out
 
 
+def path_types(rows: DataFrame, column: str, stable: dict[str, list[str]] | None = None) -> DataFrame:
+    """(path, type, n) over all JSON texts of a column: how many values have a part of this type at this path. Each distinct text of a batch is parsed once."""
+
+    @F.pandas_udf("array<struct<path: string, type: string>>")
+    def parts(texts: pd.Series) -> pd.Series:
+        known = {t: walk(json.loads(t), "", 0, stable) for t in texts.dropna().unique()}
+        return texts.map(lambda t: [{"path": p, "type": k} for p, k in known[t]], na_action="ignore")
+
+    return rows.select(F.explode(parts(F.col(column))).alias("part")).groupBy("part.path", "part.type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def infer(rows: list[Any]) -> dict[str, Any]:
     """Merged description of JSON values: kinds seen, and for objects each key's description and count. For profiles of samples."""
     node: dict[str, Any] = {"n": 0, "kinds": {}, "fields": {}, "items": None}

@@ -18,6 +18,7 @@ from ..schema import EVENT_SCHEMA, events, shared_folder, source_struct
 from ..sinks import avro, envelopes, lake, network
 from ..sources import ingest
 from ..streaming.pipeline import Pipeline, SharedProgress, Sink
+from ..streaming.sensor import SensorOptions, sense
 from .catalog import ORDERS, T0, _user_keys, click_events, order_events, query, table
 
 
@@ -330,6 +331,24 @@ def dynamic_key_structures(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("normalised").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fp").alias("structures"))
 
 
+@query(
+    "SELECT '' AS path, 'object' AS type, count(*) AS n FROM events UNION ALL SELECT 'k', 'int', count(*) FROM events UNION ALL SELECT 'items', 'array', count(*) FROM events "
+    "UNION ALL SELECT 'items[]', CASE WHEN event_id % 3 = 0 THEN 'string' ELSE 'bool' END, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'by.<*>', 'float', count(*) FROM events UNION ALL SELECT 'by', 'object', count(*) FROM events"
+)
+def json_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths and types of nested objects, of which one is a map with a key for each user."""
+    first = F.when(F.col("event_id") % 3 == 0, '"x"').otherwise("true")
+    body = F.concat(F.lit('{"k":'), F.col("event_id"), F.lit(',"items":['), first, F.lit(',1],"by":{"u'), F.col("user_id"), F.lit('":0.5}}'))
+    return sensing.path_types(table(spark, d, "events").select(body.alias("j")), "j", {"by": []})
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'mysql://u' || s_suppkey || ':***@host/db' ELSE 'http://host/' || s_suppkey END AS url FROM supplier")
+def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    url = F.when(k % 2 == 0, F.concat(F.lit("mysql://u"), k, F.lit(":p:w@"), k, F.lit("@host/db"))).otherwise(F.concat(F.lit("http://host/"), k))
+    return table(spark, d, "supplier").select("s_suppkey", network.redact_column(url).alias("url"))
+
+
 # -- streams ------------------------------------------------------------------------------------------------------------
 
 
@@ -354,3 +373,25 @@ def stream_pipeline_sinks(spark: SparkSession, d: str) -> DataFrame:
         written = spark.read.schema("event_type string").parquet(*(posixpath.join(base, s.id, f"batch={n}") for n in batches))
         parts.append(written.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s.id).alias("sink"), "event_type", "n"))
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_id % 30 = 0 AS kind, row_number() OVER w AS i, lag(event_id % 30 = 0) OVER w AS was FROM events WINDOW w AS (ORDER BY CAST(floor(epoch_us(ts) / 1000) AS BIGINT), CAST(event_id AS VARCHAR))), "
+    "c AS (SELECT *, i > 1 AND kind <> was AS changed FROM e), o AS (SELECT *, lag(changed) OVER (ORDER BY i) AS changed_before, sum(CAST(changed AS INT)) OVER (ORDER BY i) + 1 AS sequence FROM c) "
+    "SELECT event_id, CASE WHEN i = 1 THEN 'NewSchema' WHEN changed THEN 'Evolved' WHEN changed_before THEN 'Unchanged' ELSE 'CacheHit' END AS outcome, CAST(sequence AS BIGINT) AS sequence FROM o"
+)
+def stream_sensor(spark: SparkSession, d: str) -> DataFrame:
+    """The sensor over a file stream of one table, whose events have a key more now and then."""
+    base, provider = folder(spark, "sensor"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+        body = F.to_json(F.struct("event_id", F.when(F.col("event_id") % 30 == 0, 1).alias("extra")))
+        stream = events(rows, after=body, op=F.lit("c"), event_id=F.col("event_id").cast("string"), ts_ms=F.unix_millis(F.col("ts").cast("timestamp")), source=source_struct(db=F.lit("app"), table=F.lit("events")))
+        found = sense(stream, SensorOptions(warm_up=1 << 40, stabilise_at=1 << 40, cache=100)).select(F.col("event_id").cast("bigint").alias("event_id"), "outcome", F.col("schema_sequence").alias("sequence"))
+        out = posixpath.join(base, "out")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", posixpath.join(base, "checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema("event_id long, outcome string, sequence long").parquet(out)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import templates
@@ -177,5 +177,10 @@ def redact(url: str) -> str:
     return f"{scheme}{sep}{user.partition(':')[0]}:***@{tail}" if at and sep else url
 
 
+def redact_column(url: Column) -> Column:
+    """The same for a column of URLs."""
+    return F.regexp_replace(url, r"^([^:]+://[^:@]*)(?::.*)?@([^@]*)$", "$1:***@$2")
+
+
 def to_json_lines(messages: list[dict]) -> str:
     return "\n".join(json.dumps(m, sort_keys=True) for m in messages)

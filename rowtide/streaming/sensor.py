@@ -91,9 +91,10 @@ class Sensor(StatefulProcessor):
         if self.state.exists():
             f, s, c, u, k = self.state.get()
             held = SensorState(f, s, c, u, tuple(json.loads(k)))
-        for part in rows:
+        parts = list(rows)  # of one table in one micro-batch, which the source bounds; they come in no order
+        if parts:
             out = []
-            for row in part.sort_values(["ts_ms", "event_id"]).itertuples():
+            for row in pd.concat(parts).sort_values(["ts_ms", "event_id"]).itertuples():
                 outcome = observe(held, row.after, self.options)
                 out.append((key[0], row.event_id, outcome, held.fingerprint, held.sequence, held.count, *([row.event] if self.keep else [])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")] + ["event"] * self.keep)
