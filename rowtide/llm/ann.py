@@ -39,7 +39,7 @@ QUERY_BYTES = 2 << 20
 #: Rows in a block of the index, and in the part of it that a task scores.
 ROW_BLOCK, PART_ROWS = 4_096, 65_536
 #: Tasks that a batch is scored in, at least.
-TASKS = 16
+TASKS = 8
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -163,22 +163,21 @@ def _search(shared, books: Codebooks, shares: int, shortlist: int) -> Callable[[
                 blocks.setdefault((row["part"], row["share"]), []).append((ids, np.array(pairs), np.frombuffer(row["norms"], np.float32)))
         for (_, share), held in blocks.items():
             queries = shared.value
+            ids, norms = (np.concatenate([h[c] for h in held]) for c in (0, 2))
+            pairs = np.concatenate([h[1] for h in held], axis=1)
             for i in range(share, len(queries.ids), shares):
                 table = (books.books @ _unit(queries.vectors[i : i + 1])[0]).astype(np.float32)
                 tables = [(table[b][:, None] + table[b + 1][None, :]).ravel() if b + 1 < m else table[b] for b in range(0, m, 2)]
-                near, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-                for ids, pairs, norms in held:
-                    score = tables[0].take(pairs[0])
-                    for b in range(1, len(tables)):
-                        score += tables[b].take(pairs[b])
-                    score *= norms
-                    least = scores[-1] if len(scores) == shortlist else -np.inf
-                    hopeful = np.flatnonzero((score >= least) & (ids != queries.ids[i]))
-                    near, scores = np.concatenate([near, ids[hopeful]]), np.concatenate([scores, score[hopeful]])
-                    best = top(scores, near, shortlist)
-                    near, scores = near[best], scores[best]
+                score = tables[0].take(pairs[0])
+                for b in range(1, len(tables)):
+                    score += tables[b].take(pairs[b])
+                score *= norms
+                own = ids == queries.ids[i]
+                score[own] = -np.inf
+                near = top(score, ids, shortlist)
+                near = near[~own[near]]
                 if len(near):
-                    yield _packed([(int(queries.ids[i]), near, scores.astype(np.float64))])
+                    yield _packed([(int(queries.ids[i]), ids[near], score[near].astype(np.float64))])
 
     return run
 
