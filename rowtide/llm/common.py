@@ -109,10 +109,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder, and with that ends its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialises df in the shared folder, and with that ends its lineage; survives lost executors. Its shuffle files go at once:
+    nothing reads them again, and else they would stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting of when it was made
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide.llm import decontam, line_dedup, lm, near
+from rowtide.llm import common, decontam, line_dedup, lm, near
 from rowtide.llm.common import TOKENS, WORDS, encode_words, pick, words_of
 
 SCHEMA = "doc_id long, text string"
@@ -36,6 +37,30 @@ def sample_texts(n=60, seed=1):
 # -- shared helpers ---------------------------------------------------------------------------------------------------
 
 
+def shuffles_left(spark, since, until):
+    """How many of these shuffles have files still, once Spark has had time to remove some."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    end = time.monotonic() + 10
+    while True:
+        files = env.blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        left = sum(f"shuffle_{i}_" in files for i in range(since, until))
+        if not left or time.monotonic() > end:
+            return left
+        time.sleep(0.1)
+
+
+def test_a_cut_gives_back_what_it_shuffled(spark):
+    mark = spark._jsc.sc().newShuffleId
+    since = mark()
+    counts = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = mark()
+    assert shuffles_left(spark, since, until) == 0
+    assert sorted(r["count"] for r in counts.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get(common.FREE_SHUFFLES) == "false"  # only a cut's own plan
+    kept = spark.range(9).repartition(2, "id")
+    assert [kept.count(), len(kept.collect()), len(kept.collect())] == [9, 9, 9]
+
+
 def test_encode_words_matches_plain_splitting():
     texts = [t.encode() if t is not None else None for t in [*sample_texts(), " lead", "trail ", "a-b_c9Z"]]
     for table, split in ((WORDS, words_of), (TOKENS, lambda b: b.translate(TOKENS.tobytes()).split())):
@@ -413,3 +438,11 @@ def test_suffix_array():
     for n in (0, 1, 2, 50, 300):
         seq = rng.integers(0, 3, n)
         assert decontam.suffix_array(seq).tolist() == sorted(range(n), key=lambda i: seq[i:].tolist())
+
+
+def test_line_dedup_gives_back_the_shuffles_of_its_chunks(spark):
+    passage = "\n".join(f"a line of the passage that recurs number {i} with more words" for i in range(5))
+    since = spark._jsc.sc().newShuffleId()
+    out = line_dedup.dedup_lines(docs_of(spark, [(1, f"own one\n{passage}"), (2, f"own two\n{passage}")]))
+    assert shuffles_left(spark, since, spark._jsc.sc().newShuffleId()) == 0
+    assert [(r.doc_id, r.n_removed) for r in out.orderBy("doc_id").collect()] == [(1, 0), (2, 5)]
