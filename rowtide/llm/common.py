@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -111,6 +112,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark's setting by which an execution's shuffle files go when it ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds between two collections of the driver's garbage, at least; and when the last one was.
+RELEASE_SECONDS = 2.0
+_released: list[float] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop plans that nothing refers to any more, with their broadcasts, map statuses and checkpoints.
+
+    Its JVM collects garbage only where its heap grows towards the limit; until then all plans of a job of many cuts stay.
+    """
+    if not _released or time.monotonic() - _released[-1] >= RELEASE_SECONDS:
+        spark._jvm.System.gc()
+        _released[:] = [time.monotonic()]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -121,9 +135,11 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan takes the setting of when it was made
+        df = df.select("*").checkpoint(eager=True)  # a plan takes the setting of when it was made
     finally:
         spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
+    release(spark)
+    return df
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
