@@ -1,8 +1,11 @@
 """Pipelines and the sensor on file streams."""
 
 import json
+import random
 import time
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from rowtide.operators.filter import EventFilter
 from rowtide.schema import EVENT_SCHEMA, dedup, events, source_struct
 from rowtide.sources.ingest import read_event_stream
 from rowtide.streaming.pipeline import CommitError, Manager, Pipeline, Progress, SharedProgress, Sink
-from rowtide.streaming.sensor import SensorOptions, SensorState, enrich, observe, sense
+from rowtide.streaming import sensor
+from rowtide.streaming.sensor import Sensor, SensorOptions, SensorState, enrich, observe, sense
 
 
 def write(spark, path, rows, mode="append"):
@@ -118,3 +122,43 @@ def test_events_with_what_was_sensed(spark, tmp_path):
     rows = spark.table("enriched").orderBy("event_id").collect()
     assert [r.schema_sequence for r in rows] == [1, 1, 2] and rows[0].schema_version == rows[1].schema_version != rows[2].schema_version
     assert [r.after for r in rows] == ['{"a":1}', '{"a":2}', '{"a":"x"}'] and rows[0].source.db == "d"
+
+
+class State:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_sensor_sorts_a_large_batch_in_runs(monkeypatch):
+    """More rows than a run holds, in no order, some without a time or an id: in order, in blocks, and never all in memory."""
+    for name, value in {"RUN_BYTES": 50_000, "BLOCK_BYTES": 5_000, "FAN_IN": 3}.items():
+        monkeypatch.setattr(sensor, name, value, raising=False)
+    rows = [(i // 3, f"{i:05d}", '{"a":1}' if i // 7 % 2 else '{"a":"x"}') for i in range(4_000)] + [(None, "a", "{}"), (None, "b", '{"c":1}'), (5_000, None, '{"d":1}')]
+    want, state, given = [], SensorState(), 0
+    for _, i, text in [*rows[:4_000], rows[4_002], *rows[4_000:4_002]]:
+        want.append((i, observe(state, text, SensorOptions()), state.sequence, state.count))
+    mixed = random.Random(1).sample(rows, len(rows))
+    alive, most = weakref.WeakSet(), 0
+
+    def parts():
+        nonlocal most
+        for at in range(0, len(mixed), 100):
+            part = pd.DataFrame(mixed[at : at + 100], columns=["ts_ms", "event_id", "after"])
+            alive.add(part._mgr if hasattr(type(part._mgr), "__weakref__") else part)
+            most = max(most, len(alive))
+            yield part
+
+    s = Sensor(SensorOptions())
+    s.state = State()
+    blocks = list(s.handleInputRows(("t",), parts(), None))
+    found = pd.concat(blocks)
+    assert [(None if pd.isna(i) else i, *r) for i, *r in found[["event_id", "outcome", "schema_sequence", "event_count"]].itertuples(index=False)] == want
+    assert len(blocks) > 20 and most <= 3 and s.state.value[1:3] == (state.sequence, state.count)
