@@ -13,10 +13,18 @@ HIGH_NULL_RATE = 0.001
 SAMPLES, SAMPLE_CHARS = 5, 100
 
 
+#: What json_type gives.
+JSON_TYPES = ("null", "boolean", "integer", "number", "string", "array", "object", "other")
+#: First letters of a variant's type name, and its JSON type.
+_TYPES = {
+    "STR": "string", "BOO": "boolean", "ARR": "array", "OBJ": "object", "BIG": "integer", "INT": "integer", "SMA": "integer", "TIN": "integer", "DOU": "number", "DEC": "number", "FLO": "number", "VOI": "null",
+}
+
+
 def json_type(v: Column) -> Column:
-    """null, boolean, integer, number, string, array, object."""
-    s = F.schema_of_variant(v)
-    return F.when(v.isNull() | F.is_variant_null(v), "null").when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").otherwise(paths.kind_of(v))
+    """null, boolean, integer, number, string, array, object. The value is looked at once."""
+    known = F.create_map(*(F.lit(x) for pair in _TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.substring(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), 1, 3)), F.lit("other"))
 
 
 def expected(data_type: Column, seen: Column) -> Column:
@@ -36,11 +44,17 @@ def expected(data_type: Column, seen: Column) -> Column:
 
 
 def observations(events: DataFrame, declared: DataFrame) -> DataFrame:
-    """One row per event and declared column (db, table, name, data_type, nullable): seen type and a text sample. Keys of the envelope are pruned here."""
+    """One row per event and declared column (db, table, name, data_type, nullable): seen type, whether it is as expected, and a text sample.
+
+    Keys of the envelope are pruned here. The declared columns are broadcast (one row a table, no more than the schemas have): dealt by
+    table, a table's events would all be one task. What a column may hold is found once a declared column, not once a value.
+    """
     rows = events.where("after is not null").select(F.col("source.db").alias("db"), F.col("source.table").alias("table"), "event_id", paths.image("after").alias("row"))
-    own = declared.groupBy("db", "table").agg(F.collect_list(F.struct("name", "data_type", "nullable")).alias("columns"))
-    each = rows.join(own, ["db", "table"]).select("db", "table", "event_id", "row", F.explode("columns").alias("c")).select("db", "table", "event_id", "c.*", F.try_variant_get("row", F.concat(F.lit("$."), F.col("c.name")), "variant").alias("v"))
-    return each.select("db", "table", "event_id", "name", "data_type", "nullable", json_type(F.col("v")).alias("seen"), F.substring(F.to_json("v"), 1, SAMPLE_CHARS).alias("sample"))
+    takes = F.filter(F.array(*map(F.lit, JSON_TYPES)), lambda seen: expected(F.col("data_type"), seen))
+    own = declared.withColumn("takes", takes).groupBy("db", "table").agg(F.collect_list(F.struct("name", "data_type", "nullable", "takes")).alias("columns"))
+    each = rows.join(F.broadcast(own), ["db", "table"]).select("db", "table", "event_id", "row", F.explode("columns").alias("c")).select("db", "table", "event_id", "c.*", F.try_variant_get("row", F.concat(F.lit("$."), F.col("c.name")), "variant").alias("v"))
+    seen = json_type(F.col("v"))
+    return each.select("db", "table", "event_id", "name", "data_type", "nullable", seen.alias("seen"), F.array_contains("takes", seen).alias("is_expected"), F.substring(F.to_json("v"), 1, SAMPLE_CHARS).alias("sample"))
 
 
 def column_stats(events: DataFrame, declared: DataFrame) -> DataFrame:
@@ -59,7 +73,7 @@ def column_stats(events: DataFrame, declared: DataFrame) -> DataFrame:
 
 def drift_events(events: DataFrame, declared: DataFrame) -> DataFrame:
     """Mismatches by column and type, with the first samples in the order of event ids. Samples are pre-aggregated to the five least, never a group's whole list."""
-    bad = observations(events, declared).where(~expected(F.col("data_type"), F.col("seen")))
+    bad = observations(events, declared).where("not is_expected")
     keys = ["db", "table", "name", "data_type", "seen"]
     counted = bad.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.join(_least(bad, keys), keys, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions import coerce, paths, templates
 from rowtide.functions.types import ColumnInfo, TypeOptions, column_store_type, create_table, pg_name, spark_type
-from rowtide.operators import batching, dlq, progress, registry, sensing
+from rowtide.operators import batching, dlq, drift, progress, registry, sensing
 from rowtide.operators.filter import EventFilter, Predicate
 from rowtide.operators.flatten import CollisionError, FlattenOptions, flatten_struct, flatten_value
 from rowtide.operators.numbering import row_numbers
@@ -422,3 +422,22 @@ def test_flatten_without_options_is_the_general_one(value):
     from rowtide.operators.flatten import _plain
 
     assert _plain(value, "__") == flatten_value(value, FlattenOptions()) and (not isinstance(value, dict) or list(_plain(value, "__")) == list(flatten_value(value, FlattenOptions())))
+
+
+def test_drift_deals_no_table_to_one_task(spark):
+    """Whatever its size, the declared side goes to the events: dealt by table, a table's events would be one task's."""
+    declared = spark.createDataFrame([("d", "t", "a", "int", False), ("d", "t", "b", "varchar(9)", True)], "db string, `table` string, name string, data_type string, nullable boolean")
+    rows = spark.createDataFrame([("t", '{"a":1,"b":"x"}'), ("t", '{"a":"y","b":2.5}'), ("t", '{"a":null}'), ("t", None), ("other", '{"a":[]}')], "t string, body string")
+    e = events(rows, after=F.col("body"), op=F.lit("c"), source=source_struct(db=F.lit("d"), table=F.col("t")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stats = drift.column_stats(e, declared)
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        got = {r.name: r for r in stats.collect()}
+        drifts = {(r.name, r.seen): (r.n, r.samples) for r in drift.drift_events(e, declared).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(got[c].total, got[c].nulls, got[c].n_types, got[c].mismatches, got[c].dominant_type) for c in "ab"] == [(3, 1, 2, 1, "integer"), (3, 1, 2, 1, "number")]
+    assert drifts == {("a", "string"): (1, ['"y"']), ("b", "number"): (1, ["2.5"])}
