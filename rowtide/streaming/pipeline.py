@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import Future
 from dataclasses import dataclass, field
 
-from pyspark import InheritableThread
+from pyspark import InheritableThread, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -128,7 +128,8 @@ class Pipeline:
         """Every sink gets the same rows, at the same time. A sink that already has the batch is skipped, and one that isn't done by its
         deadline has failed: its jobs are cancelled, and nothing waits for it. If the policy isn't met the batch fails and comes again, to all
         sinks that hadn't committed it before."""
-        frozen = self.transform(events).persist()
+        # Serialized, so compressed: a partition's block is read as a whole by each sink's task, and a source that can't be split is one partition.
+        frozen = self.transform(events).persist(StorageLevel.MEMORY_AND_DISK)
         context = frozen.sparkSession.sparkContext
         errors: dict[str, Exception] = {}
         tags = {s.id: f"sink-{uuid.uuid4().hex}" for s in self.sinks}

@@ -7,6 +7,7 @@ import weakref
 
 import pandas as pd
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from rowtide.operators.filter import EventFilter
@@ -162,3 +163,12 @@ def test_sensor_sorts_a_large_batch_in_runs(monkeypatch):
     found = pd.concat(blocks)
     assert [(None if pd.isna(i) else i, *r) for i, *r in found[["event_id", "outcome", "schema_sequence", "event_count"]].itertuples(index=False)] == want
     assert len(blocks) > 20 and most <= 3 and s.state.value[1:3] == (state.sequence, state.count)
+
+
+def test_a_batch_is_held_compressed(spark, tmp_path):
+    """A block is read whole by a sink's task: serialized blocks are compressed, others aren't."""
+    levels = []
+    write(spark, str(tmp_path / "in"), [(i, "{}", "c") for i in range(10)])
+    p = Pipeline("p", [], [Sink("s", lambda df, n: levels.append(df.storageLevel) or df.where("false"))], Progress(str(tmp_path / "p.json")))
+    p.run_batch(spark.read.schema(EVENT_SCHEMA).parquet(str(tmp_path / "in")), 0)
+    assert levels == [StorageLevel.MEMORY_AND_DISK]
