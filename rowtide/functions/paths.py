@@ -36,14 +36,14 @@ def get(v: Column, dotted: str, kind: str = "variant") -> Column:
 
 #: First letters of a variant's type name, and its kind.
 _KINDS = {
-    "STR": "string", "BOO": "boolean", "ARR": "array", "OBJ": "object", "BIG": "number", "DOU": "number", "DEC": "number", "FLO": "number", "INT": "number", "SMA": "number", "TIN": "number", "VOI": "void",
+    "STR": "string", "BOO": "boolean", "ARR": "array", "OBJ": "object", "BIG": "number", "DOU": "number", "DEC": "number", "FLO": "number", "INT": "number", "SMA": "number", "TIN": "number",
 }
 
 
 def kind_of(v: Column) -> Column:
     """number, string, boolean, array, object, other; null for null."""
     known = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
-    return F.nullif(F.coalesce(F.try_element_at(known, F.substring(F.schema_of_variant(v), 1, 3)), F.when(v.isNotNull(), "other")), F.lit("void"))
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.coalesce(F.try_element_at(known, F.substring(F.schema_of_variant(v), 1, 3)), F.lit("other")))
 
 
 def exists(v: Column, dotted: str) -> Column:
@@ -53,13 +53,22 @@ def exists(v: Column, dotted: str) -> Column:
 
 def text(v: Column, dotted: str) -> Column:
     """Strings as they are, other values as JSON text, null if there is no value."""
-    found = get(v, dotted)
-    return F.when(exists(v, dotted), F.when(kind_of(found) == "string", found.try_cast("string")).otherwise(F.to_json(found)))
+    return text_of(get(v, dotted))
+
+
+def text_of(found: Column) -> Column:
+    kind = kind_of(found)
+    return F.when(kind == "string", found.try_cast("string")).when(kind.isNotNull(), F.to_json(found))
 
 
 def scalar_text(v: Column, dotted: str) -> Column:
     """As text, but null for arrays and objects."""
-    return F.when(kind_of(get(v, dotted)).isin("string", "number", "boolean"), text(v, dotted))
+    return scalar_of(get(v, dotted))
+
+
+def scalar_of(found: Column) -> Column:
+    kind = kind_of(found)
+    return F.when(kind == "string", found.try_cast("string")).when(kind.isin("number", "boolean"), F.to_json(found))
 
 
 def equals(found: Column, value: Any) -> Column:

@@ -441,3 +441,13 @@ def test_drift_deals_no_table_to_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert [(got[c].total, got[c].nulls, got[c].n_types, got[c].mismatches, got[c].dominant_type) for c in "ab"] == [(3, 1, 2, 1, "integer"), (3, 1, 2, 1, "number")]
     assert drifts == {("a", "string"): (1, ['"y"']), ("b", "number"): (1, ["2.5"])}
+
+
+def test_outbox_looks_up_each_value_once(spark):
+    """However many columns are made of the routing, each of the five keys and the payload is looked up once a row."""
+    e = make(spark, [(None, {"topic": "t", "aggregate_type": "A", "aggregate_id": "1", "event_type": "E", "id": 7, "payload": {"x": 1}})], schema="__outbox", op="c")
+    out = outbox(e, OutboxOptions(strict=True)).where("routing is not null")
+    h = [F.try_element_at("routing.headers", F.lit(n)).alias(n) for n in ("df-aggregate-type", "df-event-type", "df-event-id")]
+    made = out.select("routing.topic", "routing.key", "after", *h)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("variant_get(") == 6
+    assert tuple(made.first()) == ("t", "1", '{"x":1}', "A", "E", "7")
